@@ -146,6 +146,11 @@ def url_path(url: Column) -> Column:
     return url_parts(url)["path"]
 
 
+def path_as_written(url: Column) -> Column:
+    """The path part of a URL that is in normal form already; cheaper than ``url_path``."""
+    return F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+
+
 def is_valid_url(url: Column) -> Column:
     """Parseable and http or https."""
     return url_parts(url).isNotNull()

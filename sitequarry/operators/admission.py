@@ -18,8 +18,8 @@ from sitequarry.operators.robots import robots_allow
 
 def globs_allow(path: Column, include_rx: Column, exclude_rx: Column) -> Column:
     """Some include pattern matches, or there is none; and no exclude pattern does."""
-    included = (F.size(include_rx) == 0) | F.exists(include_rx, lambda p: path.rlike(p))
-    return included & ~F.exists(exclude_rx, lambda p: path.rlike(p))
+    included = (F.size(include_rx) == 0) | F.exists(include_rx, lambda p: F.rlike(path, p))
+    return included & ~F.exists(exclude_rx, lambda p: F.rlike(path, p))
 
 
 def locale_allows(path: Column, lang: Column) -> Column:

@@ -13,9 +13,9 @@ from sitequarry.functions.sections import HOME, section_of_segment
 from sitequarry.functions.text import first_non_empty
 from sitequarry.functions.urls import (
     page_segments,
+    path_as_written,
     path_segments,
     site_display_name,
-    url_path,
 )
 from sitequarry.operators.skew import spread_join
 
@@ -28,7 +28,7 @@ def url_order() -> list[Column]:
 def with_second_section(pages: DataFrame) -> DataFrame:
     """Add what regrouping needs: ``second_section`` and whether the page is below the root."""
     return (
-        pages.withColumn("_path", url_path(F.col("url")))
+        pages.withColumn("_path", path_as_written(F.col("url")))
         .withColumn("_parts", page_segments(F.col("_path")))
         .withColumns(
             {
@@ -37,7 +37,7 @@ def with_second_section(pages: DataFrame) -> DataFrame:
                 ),
                 "_below_root": F.size("_parts") > 0,
                 "_has_path": F.size(path_segments(F.col("_path"))) > 0,
-                "_is_home": F.col("_path") == "/",
+                "_is_home": F.col("_path").isin("", "/"),
             }
         )
         .drop("_path", "_parts")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions.sections import section_of_path
 from sitequarry.functions.text import collapse_spaces, first_non_empty, first_sentence, trim_all
-from sitequarry.functions.urls import page_segments, url_path
+from sitequarry.functions.urls import page_segments, path_as_written
 from sitequarry.operators.content import blocks_to_markdown, content_blocks
 from sitequarry.operators.parse import MAX_HTML_CHARS, parse_pages
 
@@ -82,7 +82,7 @@ def extract_parsed(parsed: DataFrame, min_content: str | int = DEFAULT_MIN_CONTE
             "description",
             first_sentence(F.col("markdown")).alias("fallback_description"),
             "markdown",
-            section_of_path(page_segments(url_path(F.col("url")))).alias("section"),
+            section_of_path(page_segments(path_as_written(F.col("url")))).alias("section"),
             "skip_reason",
         )
     )

@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import sitequarry
+from sitequarry.operators.html_reader import PageReader
+
+# The reader travels with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sitequarry)
+
 MAX_HTML_CHARS = 5 * 1024 * 1024
 ROWS_PER_OUTPUT_BATCH = 64
 
@@ -83,8 +90,6 @@ def parse_pages(pages: DataFrame, want_blocks: bool = True) -> DataFrame:
     source = pages.select(*names, F.when(fits, F.col("html")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sitequarry.operators.html_reader import PageReader
-
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS_PER_OUTPUT_BATCH):
                 batch = whole.slice(start, ROWS_PER_OUTPUT_BATCH)

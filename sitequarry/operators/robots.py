@@ -89,7 +89,7 @@ def site_rules(rules: DataFrame) -> DataFrame:
 
 def robots_allow(path: Column, rules: Column) -> Column:
     """Longest matching rule decides, allow wins a tie, no match allows."""
-    matching = F.filter(rules, lambda r: path.rlike(r["regex"]))
+    matching = F.filter(rules, lambda r: F.rlike(path, r["regex"]))
     best = F.array_max(F.transform(matching, lambda r: F.struct(r["len"], r["allow"])))
     return F.coalesce(best["allow"], F.lit(True))
 

@@ -112,6 +112,24 @@ def unique_pages(pages: DataFrame) -> DataFrame:
     return first_by(marked, ["url"], order).drop("_differs")
 
 
+def duplicate_captures(pages: DataFrame, unique: DataFrame) -> DataFrame:
+    """Captures of ``identify_pages`` that ``unique_pages`` left out, as dropped rows (F1).
+
+    Works on keys alone; captures are told apart by ``page_id``.
+    """
+    keys = ["url", "captured_url", "page_id"]
+    return (
+        pages.select("site", *keys)
+        .join(unique.select(*keys), keys, "left_anti")
+        .select(
+            "site",
+            F.col("captured_url").alias("url"),
+            F.lit("admission").alias("stage"),
+            F.lit("duplicate").alias("skip_reason"),
+        )
+    )
+
+
 def invalid_urls(pages: DataFrame) -> DataFrame:
     """Rows whose URL is no http(s) URL, as dropped rows."""
     return pages.filter(normalize_url(F.col("url")).isNull()).select(

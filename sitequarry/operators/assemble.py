@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sitequarry.functions.sections import section_rank
 from sitequarry.operators.describe import url_order
 from sitequarry.operators.lineage import Workspace
-from sitequarry.operators.skew import number_rows
+from sitequarry.operators.skew import number_rows, spread_join
 
 LINES_PER_CHUNK = 10_000
 
@@ -146,7 +146,8 @@ def listing_rows(pages: DataFrame, headers: DataFrame) -> DataFrame:
     head = headers.select(
         "site", "name", F.col("description").alias("site_description"), "base_url"
     )
-    return pages.select("site", "url", "title", "description", "section").join(head, "site")
+    fields = pages.select("site", "url", "title", "description", "section")
+    return spread_join(fields, head, "site", "url", how="inner")
 
 
 def _json_string(value: Column) -> Column:

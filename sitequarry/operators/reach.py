@@ -40,9 +40,10 @@ def resolved_links(hrefs: Column, page_origin: Column, page_path: Column, site:
 
 
 def page_links(pages: DataFrame, policy: DataFrame) -> DataFrame:
-    """(url, links ARRAY<STRUCT<pos, url, claim>>): the admissible links of each page.
+    """(url, links ARRAY<STRUCT<pos, url, claim, refusal>>): the same-host links of each page.
 
-    The policy of a site meets each page once, here, and not again in every wave.
+    The policy of a site meets each page once, here, and not again in every wave;
+    ``refusal`` is the reason a link may not be followed, or NULL.
     """
     rules = policy.select("site", "lang", "include_rx", "exclude_rx", "rules")
     joined = spread_join(pages.select("site", "url", "hrefs"), rules, "site", "url", how="inner")
@@ -53,7 +54,7 @@ def page_links(pages: DataFrame, policy: DataFrame) -> DataFrame:
                 link["pos"].alias("pos"),
                 href(parts).alias("url"),
                 claim_key(href(parts), parts["path"], F.col("lang")).alias("claim"),
-                skip_reason(F.col("site"), parts).isNull().alias("ok"),
+                skip_reason(F.col("site"), parts).alias("refusal"),
             )
 
         parts = link["parts"]
@@ -61,21 +62,19 @@ def page_links(pages: DataFrame, policy: DataFrame) -> DataFrame:
 
     base = F.col("_base")
     found = resolved_links(F.col("hrefs"), origin(base), base["path"], F.col("site"))
-    ok = F.filter(F.transform(F.col("_found"), admitted), lambda x: x["ok"])
     return (
         joined.withColumn("_base", url_parts(F.col("url")))
         .withColumn("_found", found)
-        .select("url", F.transform(ok, lambda x: x.dropFields("ok")).alias("links"))
+        .select("url", F.transform("_found", admitted).alias("links"))
     )
 
 
 def _candidates(rows: DataFrame, policy: DataFrame, depth: Column, wave: int) -> DataFrame:
-    """Queue entries that pass admission, from (site, url, path_pos) given per site."""
+    """Queue entries from (site, url, path_pos), with the reason some are refused."""
     parts = normalized_parts(F.col("url"))
     return (
         rows.join(policy, "site")
         .withColumn("_parts", parts)
-        .filter(skip_reason(F.col("site"), F.col("_parts")).isNull())
         .select(
             "site",
             href(F.col("_parts")).alias("url"),
@@ -86,14 +85,61 @@ def _candidates(rows: DataFrame, policy: DataFrame, depth: Column, wave: int) ->
             F.col("depth").alias("max_depth"),
             "max_pages",
             "min_content_length",
+            skip_reason(F.col("site"), F.col("_parts")).alias("refusal"),
         )
     )
 
 
+def _follow(frontier: DataFrame, links: DataFrame, wave: int) -> DataFrame:
+    """The links on the pages of a frontier that may still be expanded."""
+    return (
+        frontier.filter("depth < max_depth")
+        .join(links, "url")
+        .withColumn("_link", F.explode("links"))
+        .select(
+            "site",
+            F.col("_link.url").alias("url"),
+            F.col("_link.claim").alias("claim"),
+            (F.col("depth") + 1).alias("depth"),
+            F.lit(wave).alias("wave"),
+            F.array_append("path_pos", F.col("_link.pos")).alias("path_pos"),
+            "max_depth",
+            "max_pages",
+            "min_content_length",
+            F.col("_link.refusal").alias("refusal"),
+        )
+    )
+
+
+def refusals(entries: list[DataFrame], visits: DataFrame) -> DataFrame:
+    """(site, url, stage, skip_reason) of queue entries that were never visited.
+
+    An admissible URL whose claim went to another URL is a locale duplicate (F8).
+    """
+    narrow = entries[0].select("site", "url", "claim", "refusal")
+    for more in entries[1:]:
+        narrow = narrow.unionByName(more.select("site", "url", "claim", "refusal"))
+    narrow = narrow.distinct()
+    stage = F.lit("admission").alias("stage")
+    refused = narrow.filter(F.col("refusal").isNotNull()).select(
+        "site", "url", stage, F.col("refusal").alias("skip_reason")
+    )
+    taken = visits.select("site", "claim", F.col("url").alias("_visited"))
+    doubles = (
+        narrow.filter(F.col("refusal").isNull())
+        .join(taken, ["site", "claim"])
+        .filter(F.col("url") != F.col("_visited"))
+        .select("site", "url", stage, F.lit("locale duplicate").alias("skip_reason"))
+    )
+    return refused.unionByName(doubles)
+
+
 def reach(
     policy: DataFrame, seeds: DataFrame, links: DataFrame, workspace: Workspace
-) -> DataFrame:
-    """Visits (VISIT columns): every URL a site claims, whether or not a page was captured.
+) -> tuple[DataFrame, DataFrame]:
+    """Visits (VISIT columns) and refusals.
+
+    Visits are all URLs a site claims, whether or not a page was captured there.
 
     ``seeds`` is (site, path_pos, norm_url) of capped sitemap URLs; they are visited but
     not followed.  ``links`` comes from ``page_links``, keyed by ``url``.
@@ -104,7 +150,8 @@ def reach(
         """First candidate of each claim that no earlier wave has."""
         rest = [c for c in VISIT if c not in ("site", "claim", "path_pos")]
         first = (
-            candidates.groupBy("site", "claim")
+            candidates.filter(F.col("refusal").isNull())
+            .groupBy("site", "claim")
             .agg(F.min(F.struct("path_pos", *rest)).alias("_first"))
             .select("site", "claim", "_first.*")
         )
@@ -116,26 +163,19 @@ def reach(
 
     base = policy.select("site", F.col("norm_base").alias("url"), F.array(F.lit(0)).alias("path_pos"))
     from_sitemaps = seeds.select("site", F.col("norm_url").alias("url"), "path_pos")
-    frontier = visit(_candidates(base, policy, F.lit(0), 0))
-    visit(_candidates(from_sitemaps, policy, F.col("depth"), 1))
+    entries = [
+        _candidates(base, policy, F.lit(0), 0),
+        _candidates(from_sitemaps, policy, F.col("depth"), 1),
+    ]
+    frontier = visit(entries[0])
+    visit(entries[1])
     while not frontier.isEmpty():
-        followed = frontier.filter("depth < max_depth").join(links, "url")
-        found = followed.withColumn("_link", F.explode("links")).select(
-            "site",
-            F.col("_link.url").alias("url"),
-            F.col("_link.claim").alias("claim"),
-            (F.col("depth") + 1).alias("depth"),
-            F.lit(len(frontiers)).alias("wave"),
-            F.array_append("path_pos", F.col("_link.pos")).alias("path_pos"),
-            "max_depth",
-            "max_pages",
-            "min_content_length",
-        )
-        frontier = visit(found)
+        entries.append(_follow(frontier, links, len(frontiers)))
+        frontier = visit(entries[-1])
     visits = frontiers[0]
     for later in frontiers[1:]:
         visits = visits.unionByName(later)
-    return visits
+    return visits, refusals(entries, visits)
 
 
 def cap_visits(fetched: DataFrame, workspace: Workspace) -> DataFrame:

@@ -14,6 +14,7 @@ from sitequarry.functions.urls import (
     url_path,
 )
 from sitequarry.operators.lineage import Workspace
+from sitequarry.operators.skew import spread_join
 
 MAX_SITEMAP_URLS = 1_000
 
@@ -98,7 +99,7 @@ def classify_sitemap_urls(urls: DataFrame, sites: DataFrame) -> DataFrame:
         .when(wrong_locale, F.lit("locale"))
     )
     return (
-        urls.join(base, "site")
+        spread_join(urls, base, "site", "url", how="inner")
         .withColumns({"norm_url": normalize_url(F.col("url")), "_path": url_path(F.col("url"))})
         .withColumn("skip_reason", reason)
         .drop("_path", "_depth", "_lang", "_norm_base", "_base_depth")

@@ -21,6 +21,7 @@ from sitequarry.operators import (
 )
 from sitequarry.operators.lineage import Workspace
 from sitequarry.operators.parse import parse_pages
+from sitequarry.operators.skew import spread_join
 from sitequarry.plans import derived, site_index
 from sitequarry.sources import tables
 
@@ -46,7 +47,7 @@ def _shop_products(
 ) -> site_index.SiteProducts:
     return site_index.build_site_index(
         tables.complete_sites(derived.shop_sites(spark, sf_dir, capped)),
-        derived.shop_pages(spark, sf_dir),
+        tables.spread_scan(derived.shop_pages(spark, sf_dir), "url"),
         derived.shop_robots(spark, sf_dir),
         derived.shop_sitemaps(spark, sf_dir),
         Workspace(spark),
@@ -167,7 +168,8 @@ def page_final_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(derived.customer_pages(spark, sf_dir)).select(
+    pages = tables.spread_scan(derived.customer_pages(spark, sf_dir), "url")
+    return extract.extract(pages).select(
         "c_custkey", "title", "description", "markdown", "skip_reason"
     )
 
@@ -417,8 +419,6 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sitequarry.operators.skew import spread_join
-
     directives = robots.robots_directives(derived.host_robots(spark, sf_dir))
     rules = robots.site_rules(robots.robots_rules(directives))
     pages = tables.read_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "site", "url")
@@ -485,6 +485,12 @@ def reach_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetched.select("site", "url", "depth", "wave")
 
 
+@query
+def skip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why URLs were left out, over the whole run of ``site_index_crawled``."""
+    return _shop_products(spark, sf_dir).skip_counts()
+
+
 @query
 def site_index_crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index rows of sites followed from their base page, with every rule in force."""
@@ -528,7 +534,7 @@ def response_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def extraction_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = derived.order_pages(spark, sf_dir)
-    outcomes = extract.extract(pages)
+    outcomes = extract.extract(tables.spread_scan(pages, "page_id"))
     return (
         extract.dropped_pages(outcomes)
         .groupBy("site", "stage", "skip_reason")

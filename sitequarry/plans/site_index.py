@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions.text import html_language
 from sitequarry.operators.admission import (
+    duplicate_captures,
     identify_pages,
     invalid_urls,
     site_policy,
@@ -54,7 +55,7 @@ from sitequarry.sinks.products import chosen_products, write_documents
 
 @dataclass
 class SiteProducts:
-    """Tables of one run.  ``pages`` and ``dropped`` together hold every page considered."""
+    """Tables of one run.  ``pages`` and ``dropped`` together hold every URL considered."""
 
     pages: DataFrame
     dropped: DataFrame
@@ -123,7 +124,11 @@ def index_captured_pages(
     the de-duplication by URL.
     """
     found = workspace.table(unique_pages(extract(identify_pages(pages), min_content)), "outcomes")
-    dropped = dropped_pages(found).unionByName(invalid_urls(pages))
+    dropped = (
+        dropped_pages(found)
+        .unionByName(duplicate_captures(identify_pages(pages), found))
+        .unionByName(invalid_urls(pages))
+    )
     return _products(kept_pages(found), dropped, found, None)
 
 
@@ -154,7 +159,7 @@ def build_site_index(
     checked = workspace.table(classify_sitemap_urls(listed, policy), "sitemap-urls")
     seeds = cap_sitemap_urls(checked, policy)
     links = workspace.keyed_table(page_links(parsed, policy), "links", "url")
-    visits = reach(policy, seeds, links, workspace)
+    visits, refused = reach(policy, seeds, links, workspace)
     fetched = workspace.table(
         visits.drop("claim", "max_depth").join(parsed.select("url"), "url"), "fetched"
     )
@@ -166,6 +171,7 @@ def build_site_index(
     missing = visits.join(parsed.select("url"), "url", "left_anti")
     dropped = (
         dropped_pages(outcomes)
+        .unionByName(refused)
         .unionByName(
             checked.filter("skip_reason IS NOT NULL").select(
                 "site", "url", F.lit("sitemap").alias("stage"), "skip_reason"

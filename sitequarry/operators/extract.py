@@ -51,9 +51,9 @@ def skip_reason(min_content: Column) -> Column:
     )
 
 
-def parse_for_extraction(pages: DataFrame) -> DataFrame:
+def parse_for_extraction(pages: DataFrame, want_blocks: bool = True) -> DataFrame:
     """Parse (…, url, html), keeping the page size next to the parsed fields."""
-    return parse_pages(pages.withColumn("html_chars", F.length("html")))
+    return parse_pages(pages.withColumn("html_chars", F.length("html")), want_blocks)
 
 
 def extract_parsed(parsed: DataFrame, min_content: str | int = DEFAULT_MIN_CONTENT) -> DataFrame:

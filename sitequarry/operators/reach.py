@@ -69,18 +69,28 @@ def page_links(pages: DataFrame, policy: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(rows: DataFrame, policy: DataFrame, depth: Column, wave: int) -> DataFrame:
-    """Queue entries from (site, url, path_pos), with the reason some are refused."""
-    parts = normalized_parts(F.col("url"))
+def _first_entries(policy: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Queue entries before any link: the base page, then sitemap pages at full depth.
+
+    Entries that may not be visited carry the reason as ``refusal``.
+    """
+    base = policy.select(
+        "site",
+        F.col("norm_base").alias("url"),
+        F.array(F.lit(0)).alias("path_pos"),
+        F.lit(0).alias("wave"),
+    )
+    listed = seeds.select("site", F.col("norm_url").alias("url"), "path_pos", F.lit(1).alias("wave"))
     return (
-        rows.join(policy, "site")
-        .withColumn("_parts", parts)
+        base.unionByName(listed)
+        .join(policy, "site")
+        .withColumn("_parts", normalized_parts(F.col("url")))
         .select(
             "site",
-            href(F.col("_parts")).alias("url"),
-            claim_key(href(F.col("_parts")), F.col("_parts")["path"], F.col("lang")).alias("claim"),
-            depth.alias("depth"),
-            F.lit(wave).alias("wave"),
+            "url",
+            claim_key(F.col("url"), F.col("_parts")["path"], F.col("lang")).alias("claim"),
+            F.when(F.col("wave") == 0, F.lit(0)).otherwise(F.col("depth")).alias("depth"),
+            "wave",
             "path_pos",
             F.col("depth").alias("max_depth"),
             "max_pages",
@@ -161,14 +171,9 @@ def reach(
         frontiers.append(frontier)
         return frontier
 
-    base = policy.select("site", F.col("norm_base").alias("url"), F.array(F.lit(0)).alias("path_pos"))
-    from_sitemaps = seeds.select("site", F.col("norm_url").alias("url"), "path_pos")
-    entries = [
-        _candidates(base, policy, F.lit(0), 0),
-        _candidates(from_sitemaps, policy, F.col("depth"), 1),
-    ]
-    frontier = visit(entries[0])
-    visit(entries[1])
+    entries = [workspace.table(_first_entries(policy, seeds), "entries")]
+    frontier = visit(entries[0].filter("wave = 0"))
+    visit(entries[0].filter("wave = 1"))
     while not frontier.isEmpty():
         entries.append(_follow(frontier, links, len(frontiers)))
         frontier = visit(entries[-1])

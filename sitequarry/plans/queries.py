@@ -42,10 +42,8 @@ def _captured(spark: SparkSession, sf_dir: str) -> site_index.SiteProducts:
     return site_index.index_captured_pages(_pages(spark, sf_dir), Workspace(spark))
 
 
-def _shop_products(
-    spark: SparkSession, sf_dir: str, capped: bool = False
-) -> site_index.SiteProducts:
-    return site_index.build_site_index(
+def _shop_inputs(spark: SparkSession, sf_dir: str, capped: bool = False) -> tuple:
+    return (
         tables.complete_sites(derived.shop_sites(spark, sf_dir, capped)),
         tables.spread_scan(derived.shop_pages(spark, sf_dir), "url"),
         derived.shop_robots(spark, sf_dir),
@@ -475,26 +473,28 @@ def sitemap_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reached_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fetched = _shop_products(spark, sf_dir).fetched
+    fetched = site_index.discover(*_shop_inputs(spark, sf_dir), want_blocks=False).fetched
     return fetched.select("site", "url", "depth", "wave")
 
 
 @query
 def reach_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fetched = _shop_products(spark, sf_dir, capped=True).fetched
+    inputs = _shop_inputs(spark, sf_dir, capped=True)
+    fetched = site_index.discover(*inputs, want_blocks=False).fetched
     return fetched.select("site", "url", "depth", "wave")
 
 
 @query
 def skip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why URLs were left out, over the whole run of ``site_index_crawled``."""
-    return _shop_products(spark, sf_dir).skip_counts()
+    return site_index.build_site_index(*_shop_inputs(spark, sf_dir)).skip_counts()
 
 
 @query
 def site_index_crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index rows of sites followed from their base page, with every rule in force."""
-    return _shop_products(spark, sf_dir).index().select("site", "part", "section", "url", "line")
+    products = site_index.build_site_index(*_shop_inputs(spark, sf_dir))
+    return products.index().select("site", "part", "section", "url", "line")
 
 
 @query

@@ -132,58 +132,73 @@ def index_captured_pages(
     return _products(kept_pages(found), dropped, found, None)
 
 
-def build_site_index(
+@dataclass
+class Discovery:
+    """What following the rules of each site led to."""
+
+    parsed: DataFrame  # captured pages, parsed, one per URL
+    fetched: DataFrame  # (site, url, depth, wave, path_pos, …) of the pages to use
+    dropped: DataFrame  # (site, url, stage, skip_reason) of everything refused or missing
+
+
+def discover(
     sites: DataFrame,
     pages: DataFrame,
     robots: DataFrame,
     sitemaps: DataFrame,
     workspace: Workspace,
     escape_globs: bool = False,
-) -> SiteProducts:
-    """Products of the listed sites from the pages they reach.
+    want_blocks: bool = True,
+) -> Discovery:
+    """Follow robots rules, sitemaps and links from the base page of each site.
 
-    ``sites`` comes from ``complete_sites``; ``robots`` is (site, status, body), ``sitemaps``
-    (sitemap_url, status, xml), ``pages`` (page_id, site, url, html).
+    Without ``want_blocks`` the pages are parsed for their links only.
     """
     found = identify_pages(pages).withColumn("html_lang", html_language(F.col("html")))
     parsed = workspace.keyed_table(
-        unique_pages(parse_for_extraction(found)), "parsed", "url", exchanged=True
+        unique_pages(parse_for_extraction(found, want_blocks)), "parsed", "url", exchanged=True
     )
     directives = workspace.table(robots_directives(robots), "robots")
     rules = site_rules(robots_rules(directives))
     policy = workspace.table(
         site_policy(sites, rules, parsed.select("url", "html_lang"), escape_globs), "policy"
     )
-    starts = sitemap_locations(sites, directives)
-    listed = sitemap_closure(starts, sitemaps, workspace)
+    listed = sitemap_closure(sitemap_locations(sites, directives), sitemaps, workspace)
     checked = workspace.table(classify_sitemap_urls(listed, policy), "sitemap-urls")
-    seeds = cap_sitemap_urls(checked, policy)
     links = workspace.keyed_table(page_links(parsed, policy), "links", "url")
-    visits, refused = reach(policy, seeds, links, workspace)
+    visits, refused = reach(policy, cap_sitemap_urls(checked, policy), links, workspace)
+    captured = parsed.select("url")
     fetched = workspace.table(
-        visits.drop("claim", "max_depth").join(parsed.select("url"), "url"), "fetched"
+        visits.drop("claim", "max_depth").join(captured, "url"), "fetched"
     )
-    visited = cap_visits(fetched, workspace)
-    outcomes = extract_parsed(
-        visited.join(parsed.drop("site"), "url"), "min_content_length"
+    unlisted = checked.filter("skip_reason IS NOT NULL").select(
+        "site", "url", F.lit("sitemap").alias("stage"), "skip_reason"
     )
-    outcomes = workspace.table(outcomes, "outcomes")
-    missing = visits.join(parsed.select("url"), "url", "left_anti")
-    dropped = (
-        dropped_pages(outcomes)
-        .unionByName(refused)
-        .unionByName(
-            checked.filter("skip_reason IS NOT NULL").select(
-                "site", "url", F.lit("sitemap").alias("stage"), "skip_reason"
-            )
-        )
-        .unionByName(
-            missing.select(
-                "site",
-                "url",
-                F.lit("response").alias("stage"),
-                F.lit("non-HTML or failed").alias("skip_reason"),
-            )
-        )
+    missing = visits.join(captured, "url", "left_anti").select(
+        "site",
+        "url",
+        F.lit("response").alias("stage"),
+        F.lit("non-HTML or failed").alias("skip_reason"),
     )
+    dropped = refused.unionByName(unlisted).unionByName(missing)
+    return Discovery(parsed, cap_visits(fetched, workspace), dropped)
+
+
+def build_site_index(
+    sites: DataFrame,
+    pages: DataFrame,
+    robots: DataFrame,
+    sitemaps: DataFrame,
+    workspace: Workspace,
+    escape_globs: bool = False,
+) -> SiteProducts:
+    """Products of the listed sites from the pages they reach.
+
+    ``sites`` comes from ``complete_sites``; ``robots`` is (site, status, body), ``sitemaps``
+    (sitemap_url, status, xml), ``pages`` (page_id, site, url, html).
+    """
+    found = discover(sites, pages, robots, sitemaps, workspace, escape_globs)
+    reached = found.fetched.join(found.parsed.drop("site"), "url")
+    outcomes = workspace.table(extract_parsed(reached, "min_content_length"), "outcomes")
+    dropped = dropped_pages(outcomes).unionByName(found.dropped)
     return _products(kept_pages(outcomes), dropped, outcomes, sites)

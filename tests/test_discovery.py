@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitequarry.operators import responses, robots, sitemaps
+from sitequarry.operators.lineage import Workspace
 from sitequarry.operators.skew import number_rows, spread_join
 from sitequarry.plans.site_index import build_site_index
 from sitequarry.sources.tables import complete_sites, read_html_files
@@ -124,29 +125,6 @@ def html(*links, lang=""):
     )
 
 
-def crawl(spark, workspace, pages, site=None, robots_body="", sitemap=None):
-    given = {"base_url": SITE, **(site or {})}
-    schema = ", ".join(
-        f"{k} {'array<string>' if k in ('include', 'exclude') else 'int' if isinstance(v, int) else 'string'}"
-        for k, v in given.items()
-    )
-    captured = [(i, "s.org", SITE + path, content) for i, (path, content) in enumerate(pages.items())]
-    maps = [] if sitemap is None else [
-        (f"{SITE}/sitemap.xml", 200, "".join(f"<loc>{SITE}{p}</loc>" for p in sitemap))
-    ]
-    return build_site_index(
-        complete_sites(spark.createDataFrame([tuple(given.values())], schema)),
-        spark.createDataFrame(captured, PAGES),
-        spark.createDataFrame([("s.org", 200, robots_body)], ROBOTS),
-        spark.createDataFrame(maps, SITEMAPS),
-        workspace,
-    )
-
-
-def paths(built):
-    return sorted(r.url[len(SITE) :] for r in built.pages.collect())
-
-
 CHAIN = {
     "/": html("/a", "/b.html#x", "https://other.org/"),
     "/a": html("/c", "/", "/missing"),
@@ -156,68 +134,119 @@ CHAIN = {
     "/e": html(),
     "/lonely": html(),
 }
+DOCS = {
+    "/": html("/docs/a", "/docs/b", "/blog/c", "/docs/x/y"),
+    **{p: html() for p in ("/docs/a", "/docs/b", "/blog/c", "/docs/x/y")},
+}
+LOCALES = {
+    "/": html("/en/x", "/x", "/de/x", "/de/y", "/z", "/en/z", lang=' lang="en-GB"'),
+    **{p: html() for p in ("/en/x", "/x", "/de/x", "/de/y", "/en/z")},
+}
+# name: pages, site options, robots.txt, sitemap paths
+SCENARIOS = {
+    "depth0": (CHAIN, {"depth": 0}, "", None),
+    "depth1": (CHAIN, {"depth": 1}, "", None),
+    "depth2": (CHAIN, {"depth": 2}, "", None),
+    "depth3": (CHAIN, {"depth": 3}, "", None),
+    "defaults": (CHAIN, {}, "", None),
+    "capped": (CHAIN, {"max_pages": 3}, "", None),
+    "listed": (CHAIN, {"lang": "en"}, "", ["/c", "/lonely?x", "/", "/1/2/3/4", "/de/x"]),
+    "listed-capped": (CHAIN, {"max_pages": 2}, "", ["/lonely", "/c"]),
+    "excluding": (DOCS, {"exclude": ["/docs/*"]}, "", None),
+    "including": (DOCS, {"include": ["/", "/docs/**"]}, "User-agent: *\nDisallow: /docs/b", None),
+    "including-less": (DOCS, {"include": ["/docs/**"]}, "", None),
+    "detected": (LOCALES, {}, "", None),
+    "german": (LOCALES, {"lang": "DE"}, "", None),
+    "any-language": (dict(LOCALES, **{"/": html("/en/x", "/x", "/de/x")}), {}, "", None),
+    "base-below": (dict(CHAIN, **{"/a/": html("b")}), {"base": "/a/"}, "", None),
+}
 
 
-@pytest.mark.parametrize(
-    "depth,expected",
-    [(0, ["/"]), (1, ["/", "/a", "/b"]), (2, ["/", "/a", "/b", "/c"]), (3, ["/", "/a", "/b", "/c", "/d"])],
-)
-def test_depth(spark, workspace, depth, expected):
-    assert paths(crawl(spark, workspace, CHAIN, {"depth": depth})) == expected
-
-
-def test_pages_in_visit_order_up_to_the_cap(spark, workspace):
-    assert paths(crawl(spark, workspace, CHAIN, {"max_pages": 3})) == ["/", "/a", "/b"]
-
-
-def test_missing_pages_are_reported(spark, workspace):
-    built = crawl(spark, workspace, CHAIN, {"depth": 2})
-    assert [(r.url, r.stage) for r in built.dropped.collect()] == [(f"{SITE}/missing", "response")]
+def crawl(spark, workspace):
+    """All scenarios as sites of one run."""
+    sites, pages, bodies, maps = [], [], [], []
+    for name, (captured, options, body, listed) in SCENARIOS.items():
+        host = f"{name}.s.org"
+        order = ("depth", "max_pages", "lang", "include", "exclude")
+        sites.append((host + options.get("base", ""), *[options.get(k) for k in order]))
+        pages += [(host, f"https://{host}{path}", content) for path, content in captured.items()]
+        bodies.append((host, 200, body))
+        if listed is not None:
+            xml = "".join(f"<loc>https://{host}{p}</loc>" for p in listed)
+            maps.append((f"https://{host}/sitemap.xml", 200, xml))
+    site_schema = (
+        "base_url string, depth int, max_pages int, lang string, include array<string>, "
+        "exclude array<string>"
+    )
+    return build_site_index(
+        complete_sites(spark.createDataFrame(sites, site_schema)),
+        spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], PAGES),
+        spark.createDataFrame(bodies, ROBOTS),
+        spark.createDataFrame(maps, SITEMAPS),
+        workspace,
+    )
 
 
-def test_sitemap_pages_come_first_and_are_not_followed(spark, workspace):
-    built = crawl(spark, workspace, CHAIN, sitemap=["/c", "/lonely?x", "/", "/1/2/3/4", "/de/x"], site={"lang": "en"})
-    assert paths(built) == ["/", "/a", "/b", "/c", "/lonely"]  # /d hangs on /c only
-    assert {r.skip_reason for r in built.dropped.filter("stage = 'sitemap'").collect()} == {"base url", "too deep", "locale"}
-    capped = crawl(spark, workspace, CHAIN, {"max_pages": 2}, sitemap=["/lonely", "/c"])
-    assert paths(capped) == ["/", "/lonely"]
+@pytest.fixture(scope="module")
+def crawled(spark):
+    built = crawl(spark, Workspace(spark))
+    kept = {name: [] for name in SCENARIOS}
+    dropped = {name: [] for name in SCENARIOS}
+    for r in built.pages.collect():
+        kept[r.site[: -len(".s.org")]].append("/" + r.url.split("/", 3)[3])
+    for r in built.dropped.collect():
+        dropped[r.site[: -len(".s.org")]].append(("/" + r.url.split("/", 3)[3], r.stage, r.skip_reason))
+    index = sorted(map(tuple, built.index().collect()))
+    return {k: sorted(v) for k, v in kept.items()}, {k: sorted(v) for k, v in dropped.items()}, index
 
 
-def test_globs_and_robots(spark, workspace):
-    pages = {"/": html("/docs/a", "/docs/b", "/blog/c", "/docs/x/y"), **{p: html() for p in ("/docs/a", "/docs/b", "/blog/c", "/docs/x/y")}}
-    assert paths(crawl(spark, workspace, pages, {"exclude": ["/docs/*"]})) == ["/", "/blog/c", "/docs/x/y"]
-    assert paths(crawl(spark, workspace, pages, {"include": ["/", "/docs/**"]}, "User-agent: *\nDisallow: /docs/b")) == [
-        "/", "/docs/a", "/docs/x/y",
-    ]
-    assert paths(crawl(spark, workspace, pages, {"include": ["/docs/**"]})) == []  # covers the base page too
+@pytest.mark.parametrize(
+    "name,expected",
+    [
+        ("depth0", ["/"]),
+        ("depth1", ["/", "/a", "/b"]),
+        ("depth2", ["/", "/a", "/b", "/c"]),
+        ("depth3", ["/", "/a", "/b", "/c", "/d"]),
+        ("defaults", ["/", "/a", "/b", "/c", "/d"]),
+        ("capped", ["/", "/a", "/b"]),
+        ("listed", ["/", "/a", "/b", "/c", "/lonely"]),  # /d hangs on /c only
+        ("listed-capped", ["/", "/lonely"]),
+        ("excluding", ["/", "/blog/c", "/docs/x/y"]),
+        ("including", ["/", "/docs/a", "/docs/x/y"]),
+        ("including-less", []),  # the base page has to match too
+        ("detected", ["/", "/en/x"]),
+        ("german", ["/", "/de/y", "/x"]),
+        ("any-language", ["/", "/de/x", "/en/x", "/x"]),
+        ("base-below", ["/", "/a", "/b", "/c", "/d", "/e"]),
+    ],
+)
+def test_reached_pages(crawled, name, expected):
+    assert crawled[0][name] == expected
 
 
-def test_language(spark, workspace):
-    en = ' lang="en-GB"'
-    pages = {
-        "/": html("/en/x", "/x", "/de/x", "/de/y", "/z", "/en/z", lang=en),
-        **{p: html() for p in ("/en/x", "/x", "/de/x", "/de/y", "/en/z")},
-    }
-    built = crawl(spark, workspace, pages)
+def test_reasons(crawled):
+    dropped = crawled[1]
+    assert dropped["depth2"] == [("/missing", "response", "non-HTML or failed")]
+    assert {r[2] for r in dropped["listed"] if r[1] == "sitemap"} == {"base url", "too deep", "locale"}
+    assert ("/docs/b", "admission", "robots.txt blocked") in dropped["including"]
+    assert ("/blog/c", "admission", "excluded") in dropped["including"]
     # /z is missing but claims its path all the same
-    assert paths(built) == ["/", "/en/x"]
-    assert sorted((r.url[len(SITE):], r.skip_reason) for r in built.dropped.collect()) == [
-        ("/de/x", "locale de (want en)"), ("/de/y", "locale de (want en)"), ("/en/z", "locale duplicate"),
-        ("/x", "locale duplicate"), ("/z", "non-HTML or failed"),
+    assert dropped["detected"] == [
+        ("/de/x", "admission", "locale de (want en)"),
+        ("/de/y", "admission", "locale de (want en)"),
+        ("/en/z", "admission", "locale duplicate"),
+        ("/x", "admission", "locale duplicate"),
+        ("/z", "response", "non-HTML or failed"),
     ]
-    assert paths(crawl(spark, workspace, pages, {"lang": "DE"})) == ["/", "/de/y", "/x"]
-    plain = dict(pages, **{"/": html("/en/x", "/x", "/de/x")})
-    assert paths(crawl(spark, workspace, plain)) == ["/", "/de/x", "/en/x", "/x"]
 
 
-def test_result_does_not_depend_on_partitions(spark, workspace):
-    found = []
-    for n in ("1", "7"):
-        spark.conf.set("spark.sql.shuffle.partitions", n)
-        built = crawl(spark, workspace, CHAIN, {"max_pages": 4})
-        found.append(sorted(map(tuple, built.index().collect())))
+def test_result_does_not_depend_on_partitions(spark, workspace, crawled):
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    built = crawl(spark, workspace)
+    again = sorted(map(tuple, built.index().collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert found[0] == found[1]
+    assert again == crawled[2]
+    workspace.drop()
 
 
 def test_spread_join_splits_hot_keys(spark):

@@ -26,6 +26,9 @@ _UNSAFE = "[^\\x21-\\x7E]|[\"<>`{}^]"
 _UNSAFE_CHAR = "^(?:" + _UNSAFE + ")$"
 _LOCALE = r"(?i)^/([a-z]{2}(?:-[a-z]{2,4})?)(?:/|$)"
 _PAGE_EXTENSION = r"\.(html|htm|php)$"
+_MAY_NORMALIZE = r"(?:/|\.(?:html|htm|php))$"
+# A link that is a plain path from the root: nothing to resolve, decode or encode in it.
+_PLAIN_PATH = r"(?s)^((?:/(?!\.|/|%2[eE])[!$&-.0-;=@-\[\]_a-z|~%]*+)+)(?:[?#].*)?$"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,11 +121,13 @@ def href(parts: Column) -> Column:
 
 def normalize_path(path: Column) -> Column:
     """The path as page identity: no trailing slash, index file or page extension (U4)."""
+    # most paths end in neither and are left alone by one test
     bare = F.regexp_replace(path, r"(?<=.)/$", "")
     parent = F.regexp_replace(bare, r"/index\.(html|htm|php)$", "/")
     bare = F.regexp_replace(parent, r"(?<=.)/$", "")
     short = F.regexp_replace(bare, _PAGE_EXTENSION, "")
-    return F.regexp_replace(short, r"^$", "/")
+    full = F.regexp_replace(short, r"^$", "/")
+    return F.when(path.rlike(_MAY_NORMALIZE), full).otherwise(path)
 
 
 def normalized_parts(url: Column) -> Column:
@@ -186,8 +191,27 @@ def site_display_name(host: Column) -> Column:
     return F.concat(F.upper(F.left(label, F.lit(1))), F.substring(label, 2, 1 << 30))
 
 
-def resolve_href(link: Column, page_origin: Column, page_path: Column) -> Column:
-    """``url_parts`` of a link found on a page; query and fragment are ignored."""
+def resolve_href(link: Column, page: Column) -> Column:
+    """``url_parts`` of a link found on a page, itself given by ``url_parts``.
+
+    Query and fragment are ignored.  Plain root-relative links, the common case, take
+    a short way.
+    """
+
+    def resolved(path: Column) -> Column:
+        on_this_host = F.struct(
+            page["scheme"].alias("scheme"),
+            page["host"].alias("host"),
+            page["port"].alias("port"),
+            path.alias("path"),
+        )
+        return F.when(path != "", on_this_host).otherwise(url_parts(_absolute_href(link, page)))
+
+    return bind(F.regexp_extract(link, _PLAIN_PATH, 1), resolved)
+
+
+def _absolute_href(link: Column, page: Column) -> Column:
+    page_origin, page_path = origin(page), page["path"]
 
     def absolute(h: Column) -> Column:
         scheme = F.regexp_extract(page_origin, r"^([a-z]+):", 1)
@@ -205,7 +229,7 @@ def resolve_href(link: Column, page_origin: Column, page_path: Column) -> Column
         )
 
     before_query = F.translate(F.regexp_extract(clean_url(link), r"(?s)^[^?#]*", 0), "\\", "/")
-    return url_parts(bind(before_query, absolute))
+    return bind(before_query, absolute)
 
 
 def decode_xml_entities(text: Column) -> Column:

@@ -13,7 +13,9 @@ from sitequarry.functions.urls import (
     path_locale,
     strip_locale,
 )
+from sitequarry.operators.lineage import Workspace
 from sitequarry.operators.robots import robots_allow
+from sitequarry.operators.skew import spread_join
 
 
 def globs_allow(path: Column, include_rx: Column, exclude_rx: Column) -> Column:
@@ -112,21 +114,33 @@ def unique_pages(pages: DataFrame) -> DataFrame:
     return first_by(marked, ["url"], order).drop("_differs")
 
 
-def duplicate_captures(pages: DataFrame, unique: DataFrame) -> DataFrame:
-    """Captures of ``identify_pages`` that ``unique_pages`` left out, as dropped rows (F1).
+def duplicate_captures(pages: DataFrame, workspace: Workspace) -> DataFrame:
+    """(site, url, page_id, …) of the captures ``unique_pages`` would leave out, as dropped rows.
 
-    Works on keys alone; captures are told apart by ``page_id``.
+    Works on keys alone, so that page content need not be shuffled to find the few
+    captures to skip; ``page_id`` identifies a capture.  URLs with very many captures are
+    combined map-side and salted.
     """
-    keys = ["url", "captured_url", "page_id"]
-    return (
-        pages.select("site", *keys)
-        .join(unique.select(*keys), keys, "left_anti")
-        .select(
+    keys = pages.select("site", "url", "captured_url", "page_id")
+    rank = F.struct(F.col("captured_url") != F.col("url"), "captured_url", "page_id")
+    repeated = workspace.table(
+        keys.groupBy("url")
+        .agg(F.min(rank)["page_id"].alias("_winner"), F.count(F.lit(1)).alias("n_rows"))
+        .filter("n_rows > 1"),
+        "repeated-urls",
+    )
+    joined = spread_join(
+        keys, repeated.drop("n_rows"), "url", "page_id", repeated.select("url", "n_rows"), "inner"
+    )
+    return workspace.table(
+        joined.filter(F.col("page_id") != F.col("_winner")).select(
             "site",
             F.col("captured_url").alias("url"),
             F.lit("admission").alias("stage"),
             F.lit("duplicate").alias("skip_reason"),
-        )
+            "page_id",
+        ),
+        "duplicates",
     )
 
 

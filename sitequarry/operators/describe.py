@@ -93,12 +93,13 @@ def site_facts(pages: DataFrame) -> DataFrame:
 def site_headers(facts: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """(site, base_url, name, description) from the homepage, else from the host name.
 
-    ``sites`` adds the base URL each site was given and sites without pages.
+    ``sites`` brings the base URL each site was given.  A site without pages has no
+    header and so no products.
     """
     if sites is None:
         base = facts.withColumn("base_url", F.concat(F.lit("https://"), F.col("site")))
     else:
-        base = sites.select("site", "base_url").join(facts, "site", "left")
+        base = sites.select("site", "base_url").join(facts, "site")
     return base.select(
         "site",
         "base_url",

@@ -16,7 +16,6 @@ from sitequarry.functions.urls import (
     href,
     normalize_path,
     normalized_parts,
-    origin,
     resolve_href,
     url_parts,
 )
@@ -28,13 +27,11 @@ VISIT = ["site", "url", "claim", "depth", "wave", "path_pos", "max_depth", "max_
          "min_content_length"]
 
 
-def resolved_links(hrefs: Column, page_origin: Column, page_path: Column, site: Column) -> Column:
+def resolved_links(hrefs: Column, page: Column, site: Column) -> Column:
     """ARRAY of STRUCT(pos, parts): same-host http(s) links of a page, duplicates kept."""
 
     def one(link: Column, pos: Column) -> Column:
-        return F.struct(
-            pos.alias("pos"), resolve_href(link, page_origin, page_path).alias("parts")
-        )
+        return F.struct(pos.alias("pos"), resolve_href(link, page).alias("parts"))
 
     return F.filter(F.transform(hrefs, one), lambda x: x["parts"]["host"] == site)
 
@@ -60,8 +57,7 @@ def page_links(pages: DataFrame, policy: DataFrame) -> DataFrame:
         parts = link["parts"]
         return bind(parts.withField("path", normalize_path(parts["path"])), checked)
 
-    base = F.col("_base")
-    found = resolved_links(F.col("hrefs"), origin(base), base["path"], F.col("site"))
+    found = resolved_links(F.col("hrefs"), F.col("_base"), F.col("site"))
     return (
         joined.withColumn("_base", url_parts(F.col("url")))
         .withColumn("_found", found)

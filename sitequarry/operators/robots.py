@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitequarry.functions.urls import clean_path, href, origin, resolve_href, url_parts
+from sitequarry.functions.urls import clean_path, href, resolve_href, url_parts
 
 
 def robots_body(status: Column, body: Column) -> Column:
@@ -104,9 +104,7 @@ def sitemap_locations(sites: DataFrame, directives: DataFrame) -> DataFrame:
     base = url_parts(F.col("base_url"))
     with_base = sites.select("site", "base_url").join(named, "site", "left").withColumn("_b", base)
     query = F.regexp_extract(F.col("_line.value"), r"\?[^#]*", 0)
-    target = href(
-        resolve_href(F.col("_line.value"), origin(F.col("_b")), F.col("_b")["path"])
-    )
+    target = href(resolve_href(F.col("_line.value"), F.col("_b")))
     fallback = F.array(F.struct(F.lit(0).alias("line_no"), F.lit("/sitemap.xml").alias("value")))
     return (
         with_base.select(

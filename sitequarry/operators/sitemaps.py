@@ -17,6 +17,7 @@ from sitequarry.operators.lineage import Workspace
 from sitequarry.operators.skew import spread_join
 
 MAX_SITEMAP_URLS = 1_000
+ROUNDS_PER_TABLE = 4
 
 
 def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
@@ -45,10 +46,10 @@ def sitemap_closure(
     """
     locs = workspace.table(sitemap_locs(sitemaps), "sitemap-locs")
     links = locs.filter("is_sitemap").select("sitemap_url", "pos", F.col("loc").alias("target"))
-    found = starts.groupBy("site", "sitemap_url").agg(F.min(F.array("pos")).alias("path_pos"))
-    best = workspace.table(found, "sitemaps-start")
-    changed = best
-    for _ in range(max_rounds):
+    keys = ["site", "sitemap_url"]
+    found = starts.groupBy(*keys).agg(F.min(F.array("pos")).alias("path_pos"))
+    best = changed = workspace.table(found, "sitemaps-start")
+    for n in range(1, max_rounds + 1):
         offers = (
             changed.join(links, "sitemap_url")
             .select(
@@ -56,20 +57,21 @@ def sitemap_closure(
                 F.col("target").alias("sitemap_url"),
                 F.array_append("path_pos", F.col("pos")).alias("path_pos"),
             )
-            .groupBy("site", "sitemap_url")
+            .groupBy(*keys)
             .agg(F.min("path_pos").alias("path_pos"))
         )
         known = best.withColumnRenamed("path_pos", "_known")
         better = (
-            offers.join(known, ["site", "sitemap_url"], "left")
+            offers.join(known, keys, "left")
             .filter(F.col("_known").isNull() | (F.col("path_pos") < F.col("_known")))
             .drop("_known")
         )
         changed = workspace.table(better, "sitemaps-changed")
         if changed.isEmpty():
             break
-        merged = best.unionByName(changed).groupBy("site", "sitemap_url")
-        best = workspace.table(merged.agg(F.min("path_pos").alias("path_pos")), "sitemaps-best")
+        best = best.unionByName(changed).groupBy(*keys).agg(F.min("path_pos").alias("path_pos"))
+        if n % ROUNDS_PER_TABLE == 0:
+            best = workspace.table(best, "sitemaps-best")
     else:
         raise RuntimeError(f"sitemap closure did not settle in {max_rounds} rounds")
     pages = locs.filter("not is_sitemap")

@@ -175,9 +175,7 @@ def page_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = urls.url_parts(F.col("url"))
-    links = reach.resolved_links(
-        F.col("hrefs"), urls.origin(F.col("p")), F.col("p")["path"], F.col("site")
-    )
+    links = reach.resolved_links(F.col("hrefs"), F.col("p"), F.col("site"))
     return (
         _parsed(spark, sf_dir)
         .withColumn("p", page)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,16 +54,41 @@ from sitequarry.operators.sitemaps import (
 from sitequarry.sinks.products import chosen_products, write_documents
 
 
-@dataclass
 class SiteProducts:
-    """Tables of one run.  ``pages`` and ``dropped`` together hold every URL considered."""
+    """Tables of one run.  ``pages`` and ``dropped`` together hold every URL considered.
 
-    pages: DataFrame
-    dropped: DataFrame
-    facts: DataFrame
-    headers: DataFrame
-    described: DataFrame
-    fetched: DataFrame
+    What the index and the listing share is written once, without the page content, the
+    first time it is asked for.
+    """
+
+    def __init__(
+        self,
+        pages: DataFrame,
+        dropped: DataFrame,
+        fetched: DataFrame,
+        workspace: Workspace,
+        sites: DataFrame | None = None,
+    ):
+        self.pages, self.dropped, self.fetched = pages, dropped, fetched
+        self.workspace, self.sites = workspace, sites
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """What is known per site; see ``site_facts``."""
+        narrow = with_second_section(self.pages.drop("markdown"))
+        return self.workspace.table(site_facts(narrow), "facts")
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        return site_headers(self.facts, self.sites)
+
+    @cached_property
+    def described(self) -> DataFrame:
+        """Pages with the section and description they have in the index."""
+        narrow = self.pages.select(
+            "site", "url", "title", "description", "fallback_description", "section"
+        )
+        return self.workspace.table(describe_pages(narrow, self.facts), "described")
 
     def index(self) -> DataFrame:
         return index_rows(self.described, self.headers)
@@ -76,6 +102,10 @@ class SiteProducts:
     def summary(self) -> DataFrame:
         return site_summary(self.pages, self.index())
 
+    def empty_sites(self) -> DataFrame:
+        """Listed sites none of whose pages could be extracted; they get no products."""
+        return self.sites.select("site", "base_url").join(self.facts, "site", "left_anti")
+
     def skip_counts(self) -> DataFrame:
         """(site, stage, skip_reason, n_pages) of all dropped pages."""
         return self.dropped.groupBy("site", "stage", "skip_reason").agg(
@@ -107,29 +137,26 @@ class SiteProducts:
                 write_documents(self.json(), full_order(), "text", f"{path}/json")
 
 
-def _products(
-    pages: DataFrame, dropped: DataFrame, fetched: DataFrame, sites: DataFrame | None
-) -> SiteProducts:
-    facts = site_facts(with_second_section(pages))
-    headers = site_headers(facts, sites)
-    return SiteProducts(pages, dropped, facts, headers, describe_pages(pages, facts), fetched)
-
-
 def index_captured_pages(
     pages: DataFrame, workspace: Workspace, min_content: int = DEFAULT_MIN_CONTENT
 ) -> SiteProducts:
     """Products of every site among ``pages`` (page_id, site, url, html), from all its pages.
 
-    Parsing is narrow and shrinks the rows before the only shuffle that carries content,
-    the de-duplication by URL.
+    Parsing and extraction are one narrow pass: content is not shuffled while the repeated
+    captures fit a broadcast, which Spark decides by the size of their table.
     """
-    found = workspace.table(unique_pages(extract(identify_pages(pages), min_content)), "outcomes")
+    identified = identify_pages(pages)
+    duplicates = duplicate_captures(identified, workspace)
+    extracted = extract(identified, min_content).join(
+        duplicates.select("page_id"), "page_id", "left_anti"
+    )
+    found = workspace.table(extracted, "outcomes")
     dropped = (
         dropped_pages(found)
-        .unionByName(duplicate_captures(identify_pages(pages), found))
+        .unionByName(duplicates.drop("page_id"))
         .unionByName(invalid_urls(pages))
     )
-    return _products(kept_pages(found), dropped, found, None)
+    return SiteProducts(kept_pages(found), dropped, found, workspace)
 
 
 @dataclass
@@ -201,4 +228,4 @@ def build_site_index(
     reached = found.fetched.join(found.parsed.drop("site"), "url")
     outcomes = workspace.table(extract_parsed(reached, "min_content_length"), "outcomes")
     dropped = dropped_pages(outcomes).unionByName(found.dropped)
-    return _products(kept_pages(outcomes), dropped, outcomes, sites)
+    return SiteProducts(kept_pages(outcomes), dropped, outcomes, workspace, sites)

@@ -197,6 +197,8 @@ def crawled(spark):
     for r in built.dropped.collect():
         dropped[r.site[: -len(".s.org")]].append(("/" + r.url.split("/", 3)[3], r.stage, r.skip_reason))
     index = sorted(map(tuple, built.index().collect()))
+    assert [r.site for r in built.empty_sites().collect()] == ["including-less.s.org"]
+    assert "including-less.s.org" not in {r[0] for r in index}
     return {k: sorted(v) for k, v in kept.items()}, {k: sorted(v) for k, v in dropped.items()}, index
 
 

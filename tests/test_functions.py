@@ -37,6 +37,15 @@ def test_normalize_url(spark):
 def test_resolve_href(spark):
     cases = {
         "/x": "http://s.com/x",
+        "/": "http://s.com/",
+        "/x/?q": "http://s.com/x/",
+        "/x/./y/../z": "http://s.com/x/z",
+        "/x//y": "http://s.com/x//y",
+        "/x%20y/a.b": "http://s.com/x%20y/a.b",
+        "/x/%2e%2E/y": "http://s.com/y",
+        "/x y": "http://s.com/x%20y",
+        '/x"<>`{}^|[]': "http://s.com/x%22%3C%3E%60%7B%7D%5E|[]",
+        "/x.": "http://s.com/x.",
         "x/y?q#f": "http://s.com/a/b/x/y",
         "../z": "http://s.com/a/z",
         "../../../z/": "http://s.com/z/",
@@ -50,7 +59,8 @@ def test_resolve_href(spark):
         "http:rel": "http://s.com/a/b/rel",
         "\\back": "http://s.com/back",
     }
-    resolve = lambda c: urls.href(urls.resolve_href(c, F.lit("http://s.com"), F.lit("/a/b/c")))
+    page = urls.url_parts(F.lit("http://s.com/a/b/c"))
+    resolve = lambda c: urls.href(urls.resolve_href(c, page))
     assert values(spark, resolve, cases) == list(cases.values())
 
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitequarry.operators import assemble, describe
-from sitequarry.plans.site_index import _products, index_captured_pages
+from sitequarry.operators.lineage import Workspace
+from sitequarry.plans.site_index import SiteProducts, index_captured_pages
 from sitequarry.sinks.products import chosen_products
 
 PAGE = "site string, url string, title string, description string, fallback_description string, markdown string, section string"
@@ -22,7 +23,7 @@ def page(path, title="Introduction", description="Getting started guide", sectio
 
 def products(spark, pages, description="An example site", name="Example"):
     df = spark.createDataFrame(pages, PAGE)
-    built = _products(df, spark.createDataFrame([], DROPPED), df, None)
+    built = SiteProducts(df, spark.createDataFrame([], DROPPED), df, Workspace(spark))
     sites = spark.createDataFrame([("example.com",)], "site string")
     built.headers = sites.select(
         "site", F.lit("https://example.com").alias("base_url"), F.lit(name).alias("name"),

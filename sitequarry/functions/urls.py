@@ -88,20 +88,23 @@ def clean_path(path: Column) -> Column:
 def url_parts(url: Column) -> Column:
     """STRUCT(scheme, host, port, path), or NULL when not an http(s) URL."""
 
-    def parts(raw: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(raw, _URL, 1))
-        port = F.regexp_extract(raw, _URL, 3)
-        default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    # One regex splits the URL: a mark tells a match from a string left as it was.
+    marked = F.regexp_replace(clean_url(url), _URL, "\x02$1\x01$2\x01$3\x01$4")
+
+    def parts(field: Column) -> Column:
+        first, port = F.get(field, F.lit(0)), F.get(field, F.lit(2))
+        scheme = F.lower(F.substring(first, 2, 5))
+        default = F.when(scheme == "http", F.lit("80")).otherwise(F.lit("443"))
         fields = F.struct(
             scheme.alias("scheme"),
-            F.lower(F.regexp_extract(raw, _URL, 2)).alias("host"),
-            F.when(default, F.lit("")).otherwise(port).alias("port"),
-            clean_path(F.regexp_extract(raw, _URL, 4)).alias("path"),
+            F.lower(F.get(field, F.lit(1))).alias("host"),
+            F.when(port == default, F.lit("")).otherwise(port).alias("port"),
+            clean_path(F.get(field, F.lit(3))).alias("path"),
         )
-        too_high = F.coalesce(port.try_cast("int"), F.lit(0)) > 65535
-        return F.when(raw.rlike(_URL) & ~too_high, fields)
+        valid_port = F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535
+        return F.when(F.startswith(first, F.lit("\x02")) & valid_port, fields)
 
-    return bind(clean_url(url), parts)
+    return bind(F.split(marked, "\x01", 4), parts)
 
 
 def origin(parts: Column) -> Column:

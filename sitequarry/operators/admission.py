@@ -13,6 +13,7 @@ from sitequarry.functions.urls import (
     path_locale,
     strip_locale,
 )
+from sitequarry.operators.computed import with_computed
 from sitequarry.operators.lineage import Workspace
 from sitequarry.operators.robots import robots_allow
 from sitequarry.operators.skew import spread_join
@@ -97,11 +98,8 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
     Rows without an http(s) URL are left out; ``invalid_urls`` reports them.
     """
-    return (
-        pages.withColumn("captured_url", F.col("url"))
-        .withColumn("url", normalize_url(F.col("url")))
-        .filter(F.col("url").isNotNull())
-    )
+    kept = pages.withColumn("captured_url", F.col("url"))
+    return with_computed(kept, {"url": normalize_url(F.col("url"))}).filter("url IS NOT NULL")
 
 
 def unique_pages(pages: DataFrame) -> DataFrame:
@@ -157,14 +155,10 @@ def invalid_urls(pages: DataFrame) -> DataFrame:
 def check_urls(pages: DataFrame) -> DataFrame:
     """Add ``norm_url``, ``claim`` and ``skip_reason`` to pages that carry their site's policy."""
     path = F.col("_parts")["path"]
-    return (
-        pages.withColumn("_parts", normalized_parts(F.col("url")))
-        .withColumns(
-            {
-                "norm_url": href(F.col("_parts")),
-                "skip_reason": skip_reason(F.col("site"), F.col("_parts")),
-                "claim": claim_key(href(F.col("_parts")), path, F.col("lang")),
-            }
-        )
-        .drop("_parts")
-    )
+    columns = {
+        "norm_url": href(F.col("_parts")),
+        "skip_reason": skip_reason(F.col("site"), F.col("_parts")),
+        "claim": claim_key(href(F.col("_parts")), path, F.col("lang")),
+    }
+    parsed = with_computed(pages, {"_parts": normalized_parts(F.col("url"))})
+    return parsed.withColumns(columns).drop("_parts")

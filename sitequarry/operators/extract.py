@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitequarry.functions.sections import section_of_path
 from sitequarry.functions.text import collapse_spaces, first_non_empty, first_sentence, trim_all
 from sitequarry.functions.urls import page_segments, path_as_written
+from sitequarry.operators.computed import with_computed
 from sitequarry.operators.content import blocks_to_markdown, content_blocks
 from sitequarry.operators.parse import MAX_HTML_CHARS, parse_pages
 
@@ -65,15 +66,14 @@ def extract_parsed(parsed: DataFrame, min_content: str | int = DEFAULT_MIN_CONTE
     added = ["has_refresh", "og_title", "h1_text", "title_tag", "meta_desc", "og_desc"]
     added += ["body_chars", "hrefs", "blocks", "parse_error", "meta_title", "content", "url"]
     carried = [c for c in parsed.columns if c not in added]
+    first = {
+        "meta_title": metadata_title(),
+        "description": metadata_description(),
+        "content": content_blocks(F.col("blocks")),
+    }
+    markdown = F.coalesce(blocks_to_markdown(F.col("content")), F.lit(""))
     return (
-        parsed.withColumns(
-            {
-                "meta_title": metadata_title(),
-                "description": metadata_description(),
-                "content": content_blocks(F.col("blocks")),
-            }
-        )
-        .withColumn("markdown", F.coalesce(blocks_to_markdown(F.col("content")), F.lit("")))
+        with_computed(with_computed(parsed, first), {"markdown": markdown})
         .withColumn("skip_reason", skip_reason(limit))
         .select(
             *carried,

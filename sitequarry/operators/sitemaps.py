@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from sitequarry.functions.text import trim_all
 from sitequarry.functions.urls import (
     decode_xml_entities,
+    href,
+    normalize_path,
     normalize_url,
     path_depth,
     path_locale,
+    url_parts,
     url_path,
 )
+from sitequarry.operators.computed import with_computed
 from sitequarry.operators.lineage import Workspace
 from sitequarry.operators.skew import spread_join
 
@@ -100,11 +104,23 @@ def classify_sitemap_urls(urls: DataFrame, sites: DataFrame) -> DataFrame:
         .when(path_depth(F.col("_path")) - F.col("_base_depth") > F.col("_depth"), F.lit("too deep"))
         .when(wrong_locale, F.lit("locale"))
     )
-    return (
-        spread_join(urls, base, "site", "url", how="inner")
-        .withColumns({"norm_url": normalize_url(F.col("url")), "_path": url_path(F.col("url"))})
-        .withColumn("skip_reason", reason)
-        .drop("_path", "_depth", "_lang", "_norm_base", "_base_depth")
+    joined = spread_join(urls, base, "site", "url", how="inner")
+    parts = url_parts(F.col("url"))
+    parsed = with_computed(joined, {"_parts": parts})
+    named = with_computed(
+        parsed,
+        {
+            "norm_url": href(
+                F.struct(
+                    *[F.col("_parts")[f].alias(f) for f in ("scheme", "host", "port")],
+                    normalize_path(F.col("_parts")["path"]).alias("path"),
+                )
+            ),
+            "_path": F.col("_parts")["path"],
+        },
+    )
+    return named.withColumn("skip_reason", reason).drop(
+        "_parts", "_path", "_depth", "_lang", "_norm_base", "_base_depth"
     )
 
 

@@ -275,8 +275,11 @@ class PageReader:
         elif tag == "blockquote":
             self.quotes += 1
         elif tag in _LISTS:
-            start = _attributes(attrs).get("start", "1") if tag == "ol" else None
-            self.lists.append([None if start is None else int(start) if start.isdigit() else 1])
+            number = None
+            if tag == "ol":
+                start = _attributes(attrs).get("start", "")
+                number = int(start) if start.isdecimal() and len(start) < 10 else 1
+            self.lists.append([number])
             if len(self.lists) == 1:
                 self.groups += 1
                 self.group = self.groups

@@ -57,7 +57,8 @@ def page_links(pages: DataFrame, policy: DataFrame) -> DataFrame:
         parts = link["parts"]
         return bind(parts.withField("path", normalize_path(parts["path"])), checked)
 
-    found = resolved_links(F.col("hrefs"), F.col("_base"), F.col("site"))
+    # a second link to the same target can never be the first to reach it
+    found = resolved_links(F.array_distinct("hrefs"), F.col("_base"), F.col("site"))
     return (
         joined.withColumn("_base", url_parts(F.col("url")))
         .withColumn("_found", found)

@@ -31,6 +31,11 @@ def test_unclosed_inline_tags_end_with_their_block():
     assert [b[5] for b in page["blocks"]] == ["**bold**", "plain"]
 
 
+@pytest.mark.parametrize("start,first", [("7", "7"), ("x", "1"), ("\u00b2", "1"), ("9" * 5000, "1")])
+def test_list_numbers(start, first):
+    assert read(f"<main><ol start='{start}'><li>a</ol></main>")["blocks"][0][5] == f"{first}.  a"
+
+
 def test_first_meta_and_first_h1_win():
     page = read(
         '<meta property="og:title" content="one"><meta property="og:title" content="two">'

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitequarry.llm.decontaminate import find_contamination
 from sitequarry.llm.line_dedup import dedup_lines
+from sitequarry.llm.packing import pack_documents
+from sitequarry.llm.token_counts import count_tokens
+from sitequarry.llm.token_files import read_tokens, write_tokens
 from sitequarry.operators.lineage import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +39,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKEN_LIMIT = 512
+
+
+@query()
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack_documents(documents(spark, sf_dir), TOKENIZER, Workspace(spark))
+
+
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, from the counts at all its prefixes."""
+    counted = count_tokens(documents(spark, sf_dir), TOKENIZER, TOKEN_LIMIT)
+    over = (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
+    return counted.select("doc_id", "n_bytes", "n_tokens", over, "fitting_chars")
+
+
+@query()
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files written and read back."""
+    path = f"{Workspace(spark).path}/token-files"
+    write_tokens(documents(spark, sf_dir), TOKENIZER, path)
+    return read_tokens(spark.read.parquet(path))
+
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sitequarry.llm.shipping import ship
+
 SLICE_BYTES = 2 << 20
 #: Bytes that `[\x20\x09-\x0D]` matches.
 SPACES = np.zeros(256, bool)
@@ -38,7 +40,15 @@ def map_batches(
                     [_as_array(columns[field.name], field.type) for field in arrow], schema=arrow
                 )
 
-    return df.mapInArrow(run, schema)
+    return map_partitions(df, run, schema)
+
+
+def map_partitions(
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    """``mapInArrow``, with this package's code on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def _as_array(values, kind: pa.DataType) -> pa.Array:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sitequarry.llm.batches import mix
+from sitequarry.llm.batches import map_partitions, mix
 
 SEGMENT_BITS = 19
 BITS_PER_KEY = 16
@@ -120,12 +120,9 @@ def seen_twice(
         if at is not None:
             yield done()
 
-    filled = rows.mapInArrow(fill, "segment int, once binary, twice binary")
-    return (
-        filled.repartition("segment")
-        .sortWithinPartitions("segment")
-        .mapInArrow(merge, "segment int, bits binary")
-    )
+    filled = map_partitions(rows, fill, "segment int, once binary, twice binary")
+    dealt = filled.repartition("segment").sortWithinPartitions("segment")
+    return map_partitions(dealt, merge, "segment int, bits binary")
 
 
 class SeenTwice:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitequarry.llm.batches import map_batches, slices
+from sitequarry.llm.batches import map_batches, map_partitions, slices
 from sitequarry.llm.bpe import encoder
 from sitequarry.llm.token_counts import read_spec
 from sitequarry.llm.wavelet import BitPlane, WaveletMatrix
@@ -29,7 +29,7 @@ from sitequarry.llm.wavelet import BitPlane, WaveletMatrix
 MAGIC = b"WMT1"
 SHARD_TOKENS = 1 << 20
 BLOCK = 4096
-_HEAD = struct.Struct("<4sQIIB")
+_HEAD = "<4sQIIB"
 
 
 def write_file(ids: np.ndarray, lengths: list[int]) -> bytes:
@@ -43,7 +43,7 @@ def write_file(ids: np.ndarray, lengths: list[int]) -> bytes:
     parts = [zlib.compress(alphabet.tobytes(), 1), zlib.compress(np.array(lengths, "<u4").tobytes(), 1)]
     for plane in WaveletMatrix.of(ranks, n_planes).planes:
         parts.append(_pack_plane(plane))
-    head = _HEAD.pack(MAGIC, len(ids), len(alphabet), len(lengths), n_planes)
+    head = struct.pack(_HEAD, MAGIC, len(ids), len(alphabet), len(lengths), n_planes)
     sizes = np.array([len(p) for p in parts], "<u8").tobytes()
     return b"".join([head, sizes, *parts])
 
@@ -66,11 +66,12 @@ class TokenFile:
     """Reads a file; a plane is unpacked when it is first needed."""
 
     def __init__(self, data: bytes):
-        magic, self.n, self.n_symbols, n_docs, n_planes = _HEAD.unpack_from(data)
+        magic, self.n, self.n_symbols, n_docs, n_planes = struct.unpack_from(_HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a token file")
-        sizes = np.frombuffer(data, "<u8", 2 + n_planes, _HEAD.size).astype(np.int64)
-        ends = _HEAD.size + 8 * len(sizes) + np.cumsum(sizes)
+        first = struct.calcsize(_HEAD)
+        sizes = np.frombuffer(data, "<u8", 2 + n_planes, first).astype(np.int64)
+        ends = first + 8 * len(sizes) + np.cumsum(sizes)
         parts = [data[end - size : end] for end, size in zip(ends, sizes, strict=True)]
         self.alphabet = np.frombuffer(zlib.decompress(parts[0]), "<u4")
         self.lengths = np.frombuffer(zlib.decompress(parts[1]), "<u4").astype(np.int64)
@@ -167,7 +168,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
         .sortWithinPartitions("doc_id", "_tie")
         .select("doc_id", "text")
     )
-    ordered.mapInArrow(write, FILES).write.parquet(path)
+    map_partitions(ordered, write, FILES).write.parquet(path)
 
 
 def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:

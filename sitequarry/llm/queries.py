@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitequarry.llm.decontaminate import find_contamination
 from sitequarry.llm.line_dedup import dedup_lines
 from sitequarry.llm.packing import pack_documents
+from sitequarry.llm.substring_dedup import remove_repeats
 from sitequarry.llm.token_counts import count_tokens
 from sitequarry.llm.token_files import read_tokens, write_tokens
 from sitequarry.operators.lineage import Workspace
@@ -144,3 +145,36 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query(
+    r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS w
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 34)) AS i
+    FROM docs WHERE len(words) >= 35)
+), repeated AS (
+  SELECT doc_id, i FROM windows
+  WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS p FROM repeated
+), words AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM docs
+), marked AS (
+  SELECT w.*, g.p IS NOT NULL AS gone FROM words w LEFT JOIN gone g USING (doc_id, p)
+), sums AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+    string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN sums USING (doc_id)
+"""
+)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in windows of 35 words that occur elsewhere, removed."""
+    removed = remove_repeats(documents(spark, sf_dir), Workspace(spark))
+    return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -82,16 +82,18 @@ class WaveletMatrix:
             at = np.where(bit, plane.zeros + ones, at - ones)
         return found
 
+    def follow(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the planes lead each number's share of the positions before ``at``: its rank there,
+        plus a place that depends on the number alone."""
+        for plane, shift in zip(self.planes, range(len(self.planes) - 1, -1, -1), strict=True):
+            ones = plane.rank(at)
+            at = np.where((values >> shift) & 1 > 0, plane.zeros + ones, at - ones)
+        return at
+
     def rank(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each number occurs before its position."""
         values, at = np.asarray(values, np.int64), np.asarray(at, np.int64)
-        low, high = np.zeros_like(at), at
-        for plane, shift in zip(self.planes, range(len(self.planes) - 1, -1, -1), strict=True):
-            bit = (values >> shift) & 1 > 0
-            a, b = plane.rank(low), plane.rank(high)
-            low = np.where(bit, plane.zeros + a, low - a)
-            high = np.where(bit, plane.zeros + b, high - b)
-        return high - low
+        return self.follow(values, at) - self.follow(values, np.zeros_like(at))
 
     def locate(self, value: int) -> np.ndarray:
         """All positions of a number, in order."""

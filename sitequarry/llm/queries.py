@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.llm.decontaminate import find_contamination
 from sitequarry.llm.line_dedup import dedup_lines
+from sitequarry.llm.near_dedup import near_duplicate_classes
 from sitequarry.llm.packing import pack_documents
 from sitequarry.llm.substring_dedup import remove_repeats
 from sitequarry.llm.token_counts import count_tokens
@@ -178,3 +179,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in windows of 35 words that occur elsewhere, removed."""
     removed = remove_repeats(documents(spark, sf_dir), Workspace(spark))
     return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates that each document belongs to."""
+    classes = near_duplicate_classes(documents(spark, sf_dir), Workspace(spark))
+    return classes.select("doc_id", "class_id")

@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from sitequarry.llm.batches import (
     map_batches,
-    map_partitions,
     mix,
     rows_of,
     slices,
@@ -38,6 +37,7 @@ from sitequarry.llm.batches import (
     word_hashes,
     word_spans,
 )
+from sitequarry.llm.cells import sum_cells
 from sitequarry.llm.components import components
 from sitequarry.operators.lineage import Workspace
 
@@ -48,7 +48,6 @@ BANDS, ROWS = 14, 4
 MIN_AGREEING = 30
 IDF_SHARE = 0.1
 DF_BITS = 18
-_DF_BLOCK = 4096
 _TABLE_BITS = 15
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -87,39 +86,12 @@ def cells(hashes: np.ndarray) -> np.ndarray:
 def document_frequencies(texts: DataFrame, workspace: Workspace) -> tuple[np.ndarray, int]:
     """How many documents have a shingle in each of the 2**DF_BITS cells, and how many documents there are."""
 
-    def count(batches):
-        total = np.zeros(1 << DF_BITS, np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                total += np.bincount(cells(shingles(part.column("text"))[0]), minlength=len(total))
-        blocks = total.reshape(-1, _DF_BLOCK)
-        some = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())],
-            names=["block", "counts"],
-        )
-
-    def add(batches):
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = np.frombuffer(counts, np.int64)
-                totals[block] = totals[block] + counts if block in totals else counts
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(totals), pa.int32()),
-                pa.array([t.tobytes() for t in totals.values()], pa.binary()),
-            ],
-            names=["block", "counts"],
-        )
+    def count(batch: pa.RecordBatch):
+        for part in slices(batch):
+            yield "", np.bincount(cells(shingles(part.column("text"))[0]), minlength=1 << DF_BITS)
 
-    kinds = "block int, counts binary"
-    parts = map_partitions(texts.select("text"), count, kinds)
-    summed = workspace.table(map_partitions(parts.repartition("block"), add, kinds), "frequencies")
-    found = np.zeros((1 << DF_BITS) // _DF_BLOCK * _DF_BLOCK, np.int64).reshape(-1, _DF_BLOCK)
-    for block, counts in summed.toLocalIterator():  # 2**DF_BITS numbers in all
-        found[block] = np.frombuffer(counts, np.int64)
-    return found.ravel(), texts.count()
+    found = sum_cells(texts.select("text"), count, 1 << DF_BITS, workspace)
+    return found.get("", np.zeros(1 << DF_BITS, np.int64)), texts.count()
 
 
 def idf_factors(frequencies: np.ndarray, n: int) -> np.ndarray:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitequarry.llm.decontaminate import find_contamination
+from sitequarry.llm.fingerprint import compare_with_next, likeness
+from sitequarry.llm.language_id import train_and_identify
 from sitequarry.llm.line_dedup import dedup_lines
 from sitequarry.llm.near_dedup import near_duplicate_classes
 from sitequarry.llm.packing import pack_documents
+from sitequarry.llm.quality import train_and_score
 from sitequarry.llm.substring_dedup import remove_repeats
 from sitequarry.llm.token_counts import count_tokens
 from sitequarry.llm.token_files import read_tokens, write_tokens
@@ -186,3 +189,34 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates that each document belongs to."""
     classes = near_duplicate_classes(documents(spark, sf_dir), Workspace(spark))
     return classes.select("doc_id", "class_id")
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of each document, learned from four of five folds."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = train_and_identify(rows, Workspace(spark))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document, learned from three of four folds of the labels."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    found = train_and_score(documents(spark, sf_dir), labels, Workspace(spark))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint, and its likeness to an edited text's and the next document's."""
+    compared = compare_with_next(documents(spark, sf_dir))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )

@@ -140,17 +140,16 @@ def _shallow_tree(gain_sums: np.ndarray, weights: np.ndarray, leaves: int = 4) -
 
 def _shallow_grid(gain_sums: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """A tree of two levels over a grid: one cut along an axis, then one along the other on each side."""
-    best, found = -1.0, np.zeros_like(gain_sums)
+    best, found = 0.0, np.zeros_like(gain_sums)
     for flip in (False, True):
         g, w = (gain_sums.T, weights.T) if flip else (gain_sums, weights)
-        first = _shallow_tree(g.sum(axis=1), w.sum(axis=1), 2)
-        cut = int(np.argmax(np.diff(first) != 0)) + 1 if np.ptp(first) else len(first)
-        values = np.zeros_like(g)
-        for rows in (slice(0, cut), slice(cut, len(first))):
-            values[rows] = _shallow_tree(g[rows].sum(axis=0), w[rows].sum(axis=0), 2)
-        gain = float((values * g).sum())
-        if gain > best:
-            best, found = gain, values.T if flip else values
+        for cut in range(1, len(g)):
+            values = np.empty_like(g)
+            for rows in (slice(0, cut), slice(cut, len(g))):
+                values[rows] = _shallow_tree(g[rows].sum(axis=0), w[rows].sum(axis=0), 2)
+            gain = float((values * g).sum())
+            if gain > best:
+                best, found = gain, values.T if flip else values
     return found
 
 
@@ -159,7 +158,7 @@ class AdditiveModel:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.edges, self.coarse, self.pairs, self.pair_tables = [], [], [], []
-        for column in x.T:
+        for column in x.T if len(x) else np.zeros((len(FEATURES), 1)):
             self.edges.append(np.unique(np.quantile(column, np.arange(1, BINS) / BINS)))
             self.coarse.append(np.unique(np.quantile(column, np.arange(1, PAIR_BINS) / PAIR_BINS)))
         self.tables = [np.zeros(len(e) + 1) for e in self.edges]

@@ -9,10 +9,12 @@ from sitequarry.functions.urls import bind
 
 # Unicode white space and the byte order mark; the zero-width space is not white space.
 _SPACE = r"[\s\p{Z}\x{FEFF}]"
+# The language pattern, and the length limits and end of a first sentence.
 _HTML_LANG = r"""(?i)<html[^>]*\slang=["']([^"']+)["']"""
 
 MIN_SENTENCE_LINE = 20
 MAX_SENTENCE = 150
+_SENTENCE = r"^(.+?\.)[\s\p{Z}\x{FEFF}]"
 
 
 def trim_all(text: Column) -> Column:
@@ -37,7 +39,7 @@ def first_sentence(markdown: Column) -> Column:
     )
 
     def sentence(line: Column) -> Column:
-        cut = F.regexp_extract(line, r"^(.+?\.)[\s\p{Z}\x{FEFF}]", 1)
+        cut = F.regexp_extract(line, _SENTENCE, 1)
         return F.when(cut == "", line).otherwise(cut)
 
     def shorten(s: Column) -> Column:

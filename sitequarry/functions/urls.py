@@ -24,6 +24,7 @@ _EDGE_OR_BREAK = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]"
 _DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
 _UNSAFE = "[^\\x21-\\x7E]|[\"<>`{}^]"
 _UNSAFE_CHAR = "^(?:" + _UNSAFE + ")$"
+# The locale prefix and the page extensions of a path.
 _LOCALE = r"(?i)^/([a-z]{2}(?:-[a-z]{2,4})?)(?:/|$)"
 _PAGE_EXTENSION = r"\.(html|htm|php)$"
 _MAY_NORMALIZE = r"(?:/|\.(?:html|htm|php))$"

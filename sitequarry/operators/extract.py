@@ -10,7 +10,7 @@ from sitequarry.functions.text import collapse_spaces, first_non_empty, first_se
 from sitequarry.functions.urls import page_segments, path_as_written
 from sitequarry.operators.computed import with_computed
 from sitequarry.operators.content import blocks_to_markdown, content_blocks
-from sitequarry.operators.parse import MAX_HTML_CHARS, parse_pages
+from sitequarry.operators.parse import parse_pages
 
 DEFAULT_MIN_CONTENT = 50
 EXTRACTED = ["url", "title", "description", "fallback_description", "markdown", "section"]
@@ -33,11 +33,12 @@ def final_title(meta_title: Column) -> Column:
     )
 
 
-def skip_reason(min_content: Column) -> Column:
+def skip_reason(min_content: Column, max_html_chars: int | None = None) -> Column:
     """First failing test of the extraction stage, or NULL."""
+    limit = F.lit(max_html_chars).cast("long")
     return (
         F.when(F.col("html_chars").isNull(), F.lit("no html"))
-        .when(F.col("html_chars") > MAX_HTML_CHARS, F.lit("html too large"))
+        .when(F.col("html_chars") > limit, F.lit("html too large"))
         .when(F.col("parse_error").isNotNull(), F.lit("parse error"))
         .when(F.col("has_refresh"), F.lit("meta refresh"))
         .when(F.col("meta_title").rlike("(?i)redirect"), F.lit("redirect title"))
@@ -52,15 +53,23 @@ def skip_reason(min_content: Column) -> Column:
     )
 
 
-def parse_for_extraction(pages: DataFrame, want_blocks: bool = True) -> DataFrame:
+def parse_for_extraction(
+    pages: DataFrame, want_blocks: bool = True, max_html_chars: int | None = None
+) -> DataFrame:
     """Parse (…, url, html), keeping the page size next to the parsed fields."""
-    return parse_pages(pages.withColumn("html_chars", F.length("html")), want_blocks)
+    sized = pages.withColumn("html_chars", F.length("html"))
+    return parse_pages(sized, want_blocks, max_html_chars)
 
 
-def extract_parsed(parsed: DataFrame, min_content: str | int = DEFAULT_MIN_CONTENT) -> DataFrame:
+def extract_parsed(
+    parsed: DataFrame,
+    min_content: str | int = DEFAULT_MIN_CONTENT,
+    max_html_chars: int | None = None,
+) -> DataFrame:
     """One row per parsed page with the extracted fields and ``skip_reason``.
 
-    ``min_content`` is a number or the name of an integer column.
+    ``min_content`` is a number or the name of an integer column; ``max_html_chars`` is the
+    limit the pages were parsed with.
     """
     limit = F.col(min_content) if isinstance(min_content, str) else F.lit(min_content)
     added = ["has_refresh", "og_title", "h1_text", "title_tag", "meta_desc", "og_desc"]
@@ -74,7 +83,7 @@ def extract_parsed(parsed: DataFrame, min_content: str | int = DEFAULT_MIN_CONTE
     markdown = F.coalesce(blocks_to_markdown(F.col("content")), F.lit(""))
     return (
         with_computed(with_computed(parsed, first), {"markdown": markdown})
-        .withColumn("skip_reason", skip_reason(limit))
+        .withColumn("skip_reason", skip_reason(limit, max_html_chars))
         .select(
             *carried,
             "url",
@@ -88,9 +97,14 @@ def extract_parsed(parsed: DataFrame, min_content: str | int = DEFAULT_MIN_CONTE
     )
 
 
-def extract(pages: DataFrame, min_content: str | int = DEFAULT_MIN_CONTENT) -> DataFrame:
+def extract(
+    pages: DataFrame,
+    min_content: str | int = DEFAULT_MIN_CONTENT,
+    max_html_chars: int | None = None,
+) -> DataFrame:
     """Parse and extract (…, url, html) in one narrow pass."""
-    return extract_parsed(parse_for_extraction(pages), min_content)
+    parsed = parse_for_extraction(pages, max_html_chars=max_html_chars)
+    return extract_parsed(parsed, min_content, max_html_chars)
 
 
 def kept_pages(outcomes: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """One pass over one HTML page: metadata, link targets and text blocks.
 
 Pure Python because nesting cannot be followed with column expressions.  It only
-reads the page; every decision about what to keep is taken by Spark afterwards.
+reads the page: what to keep, and how to write it, is decided by Spark afterwards.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from html import unescape
 from urllib.parse import urljoin
 
@@ -15,9 +16,6 @@ _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![A-Za-z]))[^>]*>?", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _ATTR_ENTITY = re.compile(r"&(?:#\d+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z]\w*;|[A-Za-z]\w*(?![\w=;]))")
-_SPACES = re.compile(r"[ \t\n\r\f]{2,}|[\t\n\r\f]")
-_BREAK = re.compile(r" ?\0 ?")
-_LINE_MARK = re.compile(r"^(?:([-+=>]|#{1,6}(?= )|~~~)|(\d+)(\. ))", re.M)
 _TRIM = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B),
                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
@@ -33,7 +31,10 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "
           "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _KINDS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre", "blockquote", "td"}
 _LISTS = {"ul", "ol", "menu"}
-_WRAP = {"b": "**", "strong": "**", "i": "_", "em": "_", "del": "~", "s": "~", "strike": "~"}
+# Inline elements and the bits that stand for them in the style of a run.
+STRONG, EMPHASIS, DELETED, CODE, LITERAL = 1, 2, 4, 8, 16
+_STYLES = {"b": STRONG, "strong": STRONG, "i": EMPHASIS, "em": EMPHASIS, "del": DELETED,
+           "s": DELETED, "strike": DELETED, "code": CODE}
 # An element that starts closes these still open ones, up to the given boundary.
 _CLOSES = {"li": ({"li"}, _LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}),
@@ -50,19 +51,9 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _escape(text: str) -> str:
-    for mark in "\\*_`[]":
-        if mark in text:
-            text = text.replace(mark, "\\" + mark)
-    return text
-
-
-def _escape_line(match: re.Match) -> str:
-    return f"\\{match[1]}" if match[1] else f"{match[2]}\\{match[3]}"
-
-
-# Deeper nesting is read as if it were flat, which keeps hostile pages linear.
-_MAX_OPEN, _MAX_MARKS = 512, 32
+#: What a block is made of, in this order: kind, whether in the main element, list or table it belongs to,
+#: words, linked words, runs (text, style, link target, table cell), list depth, number of a list item that
+#: starts here (0: bullet, n + 1: number n), depth of quotes, language of code, whether a table head.
 
 
 class PageReader:
@@ -78,20 +69,24 @@ class PageReader:
         self.body_text: list[str] = []
         self.in_body = False
         self.open: list[str] = []  # open block elements
+        self.places: dict[str, list[int]] = defaultdict(list)  # where each of them is in it
+        self.outside_counts: Counter[str] = Counter()
         self.lists: list[list] = []  # open lists: [next number or None]
         self.outside: list[str] = []  # open elements whose text is not content
         self.kinds: list[str] = []  # those of them that name the kind of a block
         self.main_depth = self.pre_depth = self.quotes = self.group = self.groups = 0
         self.heading: list[str] | None = None  # text of the first h1 while it is open
-        self.row: list[str] | None = None  # cells of the open table row
+        self.cell: int | None = None  # of the open table row: cells so far
+        self.row: list[tuple] = []  # runs of the open table row
         self.row_words = self.row_links = 0
         self.header_pending = self.item_pending = False
         self.language = ""
         self._reset()
 
     def _reset(self) -> None:
-        self.out: list[str] = []  # markdown pieces of the open block
-        self.marks: list[tuple[str, int, str]] = []  # open inline elements
+        self.runs: list[list] = []  # of the open block: texts, style, link target
+        self.marks: list[tuple[str, str]] = []  # open inline elements: tag, link target
+        self.mark_counts: Counter[str] = Counter()
         self.plain: list[str] = []
         self.linked: list[str] = []
 
@@ -110,92 +105,82 @@ class PageReader:
         if self.outside or not self.want_blocks:
             return
         self.plain.append(text)
-        verbatim = self.pre_depth
-        for mark in self.marks:
-            if mark[0] == "a":
-                self.linked.append(text)
-            elif mark[0] == "code":
-                verbatim = True
-        self.out.append(text if verbatim else _escape(text))
+        if self.mark_counts["a"]:
+            self.linked.append(text)
+        self._run(text)
 
-    def _close_mark(self) -> None:
-        tag, start, extra = self.marks.pop()
-        whole = "".join(self.out[start:])
-        body = whole.strip(" \t\n\r\f\0")
-        at = whole.find(body)
-        before, after = whole[:at], whole[at + len(body) :]
-        if tag == "a":
-            if body and extra:
-                body = f"[{body}]({extra})"
-        elif self.pre_depth or not body:
-            pass
-        elif tag == "code":
-            fence = "``" if "`" in body else "`"
-            body = f"{fence}{body}{fence}"
+    def _run(self, text: str, extra: int = 0) -> None:
+        """Add text to the open block, in the style of the open inline elements."""
+        style, target = extra, ""
+        for tag, bit in _STYLES.items():
+            if self.mark_counts[tag]:
+                style |= bit
+        if self.mark_counts["a"]:
+            target = self.target
+        if self.runs and self.runs[-1][1:] == [style, target]:
+            self.runs[-1][0].append(text)
         else:
-            body = _WRAP[tag] + body + _WRAP[tag]
-        self.out[start:] = [before + body + after]
+            self.runs.append([[text], style, target])
+
+    def _open_mark(self, tag: str, target: str = "") -> None:
+        self.marks.append((tag, target))
+        self.mark_counts[tag] += 1
+        if tag == "a":
+            self.target = target
+
+    def _close_mark(self) -> None:
+        self.mark_counts[self.marks.pop()[0]] -= 1
+
+    def _innermost(self, names: set[str]) -> int:
+        """Where the innermost open element with one of these names is, or -1."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=-1)
 
     # -- blocks -------------------------------------------------------------
     def flush(self) -> None:
-        while self.marks:
-            self._close_mark()
-        if self.out:
-            text, words = "".join(self.out), len("".join(self.plain).split())
-            links = len(" ".join(self.linked).split())
-            if not self.pre_depth:
-                text = _SPACES.sub(" ", text).strip(" \0")
-                if "\0" in text:
-                    text = _BREAK.sub("  \n", text)
-                text = _LINE_MARK.sub(_escape_line, text.strip())
-            if text and not text.isspace():
-                if self.row is not None:
-                    self.row.append(text.replace("\n", " ").replace("|", "\\|"))
-                    self.row_words += words
-                    self.row_links += links
-                else:
-                    self._emit(text, words, links)
+        """End the open block; one without text is none."""
+        if "".join(self.plain).strip(_TRIM):
+            words, links = len("".join(self.plain).split()), len(" ".join(self.linked).split())
+            cell = self.cell or 0
+            runs = [("".join(texts), style, target, cell) for texts, style, target in self.runs]
+            if self.cell is not None:
+                self.row += runs
+                self.cell += 1
+                self.row_words += words
+                self.row_links += links
+            else:
+                self._emit(runs, words, links)
         self._reset()
 
-    def _emit(self, text: str, words: int, links: int) -> None:
-        tag = self.kinds[-1] if self.kinds else "div"
-        if tag == "pre":
-            text = f"```{self.language}\n" + text.strip("\n") + "\n```"
-        elif tag[0] == "h":
-            text = "#" * int(tag[1]) + " " + text.replace("  \n", " ")
-        if self.lists:
-            if self.item_pending:
-                number = self.lists[-1][0]
-                marker = "-   " if number is None else f"{number}.  "
-                if number is not None:
-                    self.lists[-1][0] = number + 1
-                self.item_pending = False
-                text = marker + text
-            else:
-                text = "    " + text
-            text = text.replace("\n", "\n    ")
-            if len(self.lists) > 1:
-                indent = "    " * (len(self.lists) - 1)
-                text = indent + text.replace("\n", "\n" + indent)
-        if self.quotes:
-            text = "\n".join("> " * self.quotes + line for line in text.split("\n"))
-        self.blocks.append((tag, self.main_depth > 0, self.group, words, links, text))
+    def _block(self, tag: str, runs: list[tuple], words: int = 0, links: int = 0, number=None,
+               header: bool = False, nested: bool = True) -> None:
+        depth, quotes = (len(self.lists), self.quotes) if nested else (0, 0)
+        language = self.language if tag == "pre" else ""
+        self.blocks.append((tag, self.main_depth > 0, self.group, words, links, runs, depth, number,
+                            quotes, language, header))
+
+    def _emit(self, runs: list[tuple], words: int, links: int) -> None:
+        number = None
+        if self.lists and self.item_pending:
+            number = self.lists[-1][0] or 0
+            if self.lists[-1][0] is not None:
+                number += 1  # so that a list may begin with 0
+                self.lists[-1][0] += 1
+            self.item_pending = False
+        self._block(self.kinds[-1] if self.kinds else "div", runs, words, links, number)
 
     def _end_row(self) -> None:
-        if self.row:
-            line = "| " + " | ".join(self.row) + " |"
-            if self.header_pending:
-                line += "\n| " + " | ".join(["---"] * len(self.row)) + " |"
-                self.header_pending = False
-            self.blocks.append(
-                ("td", self.main_depth > 0, self.group, self.row_words, self.row_links, line))
-        self.row, self.row_words, self.row_links = None, 0, 0
+        if self.cell:
+            self._block("td", self.row, self.row_words, self.row_links,
+                        header=self.header_pending, nested=False)
+            self.header_pending = False
+        self.cell, self.row, self.row_words, self.row_links = None, [], 0, 0
 
     # -- tags ---------------------------------------------------------------
     def _pop_block(self, name: str) -> None:
         """Close the innermost open ``name`` and everything inside it."""
         while self.open:
             top = self.open.pop()
+            self.places[top].pop()
             if top in _KINDS:
                 self.kinds.pop()
             if top == "pre":
@@ -232,41 +217,39 @@ class PageReader:
             if tag in _BLOCK:
                 self.flush()
             self.outside.append(tag)
+            self.outside_counts[tag] += 1
         if self.outside or not self.want_blocks:
             return
         if tag in _BLOCK:
             self._start_block(tag, attrs)
-        elif tag in _WRAP or tag == "code":
+        elif tag in _STYLES:
             if tag == "code" and self.pre_depth and not self.language:
                 named = re.search(r"language-([\w+#.-]+)", _attributes(attrs).get("class", ""))
                 self.language = named[1] if named else ""
-            if len(self.marks) < _MAX_MARKS:
-                self.marks.append((tag, len(self.out), ""))
+            self._open_mark(tag)
         elif tag == "br":
-            self.out.append("\n" if self.pre_depth else "\0")
+            self._run("\n" if self.pre_depth else "\0")
             self.plain.append(" ")
         elif tag == "input":
             box = _attributes(attrs)
-            if box.get("type", "").lower() == "checkbox" and "li" in self.open:
-                self.out.append("[x] " if "checked" in box else "[ ] ")
+            if box.get("type", "").lower() == "checkbox" and self.places["li"]:
+                self._run("[x] " if "checked" in box else "[ ] ", LITERAL)
 
     def _start_block(self, tag: str, attrs: str) -> None:
         self.flush()
-        if "p" in self.open and self.open[-1] == "p":
+        if self.open and self.open[-1] == "p":
             self._pop_block("p")
         if tag in _CLOSES:
             names, boundary = _CLOSES[tag]
-            for name in reversed(self.open):
-                if name in boundary:
-                    break
-                if name in names:
-                    self._pop_block(name)
-                    break
+            at = self._innermost(names)
+            if at > self._innermost(boundary):
+                self._pop_block(self.open[at])
         if tag == "hr":
-            self.blocks.append(("hr", self.main_depth > 0, 0, 0, 0, "* * *"))
-            return
-        if len(self.open) >= _MAX_OPEN:
+            group, self.group = self.group, 0
+            self._block("hr", [], nested=False)
+            self.group = group
             return
+        self.places[tag].append(len(self.open))
         self.open.append(tag)
         if tag in _KINDS:
             self.kinds.append(tag)
@@ -292,21 +275,24 @@ class PageReader:
             self.groups += 1
             self.group, self.header_pending = self.groups, True
         elif tag == "tr":
-            self.row = []
+            self.cell = 0
 
     def end(self, tag: str) -> None:
         if tag == "h1" and self.heading is not None:
             self.h1_text, self.heading = "".join(self.heading), None
-        if tag in self.outside:
-            while self.outside.pop() != tag:
-                pass
+        if self.outside_counts[tag]:
+            while True:
+                top = self.outside.pop()
+                self.outside_counts[top] -= 1
+                if top == tag:
+                    break
         elif self.outside or not self.want_blocks:
             return
         elif tag in _BLOCK:
             self.flush()
-            if tag in self.open:
+            if self.places[tag]:
                 self._pop_block(tag)
-        elif any(mark[0] == tag for mark in self.marks):
+        elif self.mark_counts[tag]:
             while self.marks[-1][0] != tag:
                 self._close_mark()
             self._close_mark()
@@ -320,10 +306,9 @@ class PageReader:
             target = link
         if target[:11].lower() == "javascript:":
             target = ""
-        if any(mark[0] == "a" for mark in self.marks):
+        if self.mark_counts["a"]:
             self.end("a")
-        if len(self.marks) < _MAX_MARKS:
-            self.marks.append(("a", len(self.out), target))
+        self._open_mark("a", target)
 
     def _meta(self, attrs: dict[str, str]) -> None:
         if attrs.get("http-equiv", "").lower() == "refresh":

@@ -16,9 +16,16 @@ from sitequarry.operators.html_reader import PageReader
 # The reader travels with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sitequarry)
 
-MAX_HTML_CHARS = 5 * 1024 * 1024
 ROWS_PER_OUTPUT_BATCH = 64
 
+RUN = T.StructType(
+    [
+        T.StructField("text", T.StringType()),
+        T.StructField("style", T.IntegerType()),
+        T.StructField("target", T.StringType()),
+        T.StructField("cell", T.IntegerType()),
+    ]
+)
 BLOCK = T.StructType(
     [
         T.StructField("tag", T.StringType()),
@@ -26,7 +33,12 @@ BLOCK = T.StructType(
         T.StructField("grp", T.IntegerType()),
         T.StructField("n_words", T.IntegerType()),
         T.StructField("link_words", T.IntegerType()),
-        T.StructField("md", T.StringType()),
+        T.StructField("runs", T.ArrayType(RUN)),
+        T.StructField("depth", T.IntegerType()),
+        T.StructField("number", T.LongType()),
+        T.StructField("quotes", T.IntegerType()),
+        T.StructField("language", T.StringType()),
+        T.StructField("header", T.BooleanType()),
     ]
 )
 PARSED_FIELDS = [
@@ -42,6 +54,9 @@ PARSED_FIELDS = [
     T.StructField("parse_error", T.StringType()),
 ]
 
+_ARROW_RUN = pa.struct(
+    [("text", pa.string()), ("style", pa.int32()), ("target", pa.string()), ("cell", pa.int32())]
+)
 _ARROW_BLOCK = pa.struct(
     [
         ("tag", pa.string()),
@@ -49,7 +64,12 @@ _ARROW_BLOCK = pa.struct(
         ("grp", pa.int32()),
         ("n_words", pa.int32()),
         ("link_words", pa.int32()),
-        ("md", pa.string()),
+        ("runs", pa.list_(_ARROW_RUN)),
+        ("depth", pa.int32()),
+        ("number", pa.int64()),
+        ("quotes", pa.int32()),
+        ("language", pa.string()),
+        ("header", pa.bool_()),
     ]
 )
 _ARROW_TYPES = {
@@ -66,27 +86,34 @@ _ARROW_TYPES = {
 }
 
 
-def _block_array(pages: list[list[tuple] | None]) -> pa.Array:
-    """Blocks of many pages as one list array, built column by column."""
+def _struct_lists(rows: list[list[tuple] | None], kind: pa.StructType) -> pa.Array:
+    """Lists of tuples as one array of lists of structs, built column by column."""
     offsets, flat = [0], []
-    for blocks in pages:
-        flat.extend(blocks or ())
+    for structs in rows:
+        flat.extend(structs or ())
         offsets.append(len(flat))
-    columns = list(zip(*flat)) or [()] * len(_ARROW_BLOCK)
-    fields = [pa.array(values, f.type) for values, f in zip(columns, _ARROW_BLOCK)]
-    structs = pa.StructArray.from_arrays(fields, fields=list(_ARROW_BLOCK))
+    columns = list(zip(*flat)) or [()] * len(kind)
+    fields = [
+        _struct_lists(list(values), f.type.value_type)
+        if pa.types.is_list(f.type)
+        else pa.array(values, f.type)
+        for values, f in zip(columns, kind)
+    ]
+    structs = pa.StructArray.from_arrays(fields, fields=list(kind))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
 
 
-def parse_pages(pages: DataFrame, want_blocks: bool = True) -> DataFrame:
+def parse_pages(
+    pages: DataFrame, want_blocks: bool = True, max_html_chars: int | None = None
+) -> DataFrame:
     """Replace ``html`` by the parsed fields; all other columns pass through.
 
-    ``pages`` needs ``url`` and ``html``.  A page that is NULL or over the size limit
+    ``pages`` needs ``url`` and ``html``.  A page that is NULL or over the caller's limit
     is not read (F16), and a page that cannot be read carries ``parse_error`` (F24).
     """
     kept = [f for f in pages.schema.fields if f.name != "html"]
     names = [f.name for f in kept]
-    fits = F.length("html") <= MAX_HTML_CHARS
+    fits = F.lit(True) if max_html_chars is None else F.length("html") <= max_html_chars
     source = pages.select(*names, F.when(fits, F.col("html")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +135,9 @@ def parse_pages(pages: DataFrame, want_blocks: bool = True) -> DataFrame:
                 for name, arrow_type in _ARROW_TYPES.items():
                     values = columns[name]
                     arrays.append(
-                        _block_array(values) if name == "blocks" else pa.array(values, arrow_type)
+                        _struct_lists(values, _ARROW_BLOCK)
+                        if name == "blocks"
+                        else pa.array(values, arrow_type)
                     )
                 yield pa.RecordBatch.from_arrays(arrays, names=names + list(_ARROW_TYPES))
 

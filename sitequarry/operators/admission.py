@@ -15,7 +15,7 @@ from sitequarry.functions.urls import (
 )
 from sitequarry.operators.computed import with_computed
 from sitequarry.operators.lineage import Workspace
-from sitequarry.operators.robots import robots_allow
+from sitequarry.operators.robots import RULES, robots_allow
 from sitequarry.operators.skew import spread_join
 
 
@@ -66,7 +66,7 @@ def site_policy(
     detected = languages.select(
         F.col("url").alias("norm_base"), F.col("html_lang").alias("_detected")
     )
-    no_rules = F.array().cast("array<struct<len:int,allow:boolean,regex:string>>")
+    no_rules = F.array().cast(RULES)
     rx = lambda globs: F.transform(globs, lambda g: glob_to_regex(g, escape_globs))
     return (
         sites.withColumn("norm_base", normalize_url(F.col("base_url")))
@@ -78,6 +78,7 @@ def site_policy(
             "norm_base",
             "depth",
             "max_pages",
+            "max_sitemap_urls",
             "min_content_length",
             F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.col("_detected")).alias("lang"),
             rx(F.col("include")).alias("include_rx"),
@@ -87,6 +88,46 @@ def site_policy(
     )
 
 
+def check_sites(
+    sites: DataFrame, workspace: Workspace, escape_globs: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The usable rows of ``complete_sites``, and (site, url, stage, skip_reason) of the others.
+
+    A row is refused for a base URL that is none, a pattern that is no regular expression, or a host
+    that another row has; of rows with one host the one with the least base URL stays.
+    """
+
+    def invalid(glob: Column) -> Column:
+        # Reflection gives NULL where the compiler throws.
+        compiled = F.try_reflect(
+            F.lit("java.util.regex.Pattern"), F.lit("compile"), glob_to_regex(glob, escape_globs)
+        )
+        return compiled.isNull()
+
+    reason = F.when(normalize_url(F.col("base_url")).isNull(), F.lit("invalid url")).when(
+        F.exists("include", invalid) | F.exists("exclude", invalid), F.lit("invalid pattern")
+    )
+    place = Window.partitionBy("site", "_reason").orderBy("base_url")
+    marked = workspace.table(
+        sites.withColumn("_reason", reason)
+        .withColumn("_place", F.row_number().over(place))
+        .withColumn(
+            "_reason",
+            F.when(F.col("_reason").isNull() & (F.col("_place") > 1), F.lit("duplicate site"))
+            .otherwise(F.col("_reason")),
+        ),
+        "sites",
+    )
+    good = marked.filter("_reason IS NULL").select(*sites.columns)
+    refused = marked.filter("_reason IS NOT NULL").select(
+        "site",
+        F.col("base_url").alias("url"),
+        F.lit("site").alias("stage"),
+        F.col("_reason").alias("skip_reason"),
+    )
+    return good, refused
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row per key; ranking is limited map-side, so hot groups of copies stay cheap."""
     place = Window.partitionBy(*keys).orderBy(*order)
@@ -116,14 +157,15 @@ def duplicate_captures(pages: DataFrame, workspace: Workspace) -> DataFrame:
     """(site, url, page_id, …) of the captures ``unique_pages`` would leave out, as dropped rows.
 
     Works on keys alone, so that page content need not be shuffled to find the few
-    captures to skip; ``page_id`` identifies a capture.  URLs with very many captures are
+    captures to skip; URL and ``page_id`` identify a capture.  URLs with very many captures are
     combined map-side and salted.
     """
     keys = pages.select("site", "url", "captured_url", "page_id")
     rank = F.struct(F.col("captured_url") != F.col("url"), "captured_url", "page_id")
     repeated = workspace.table(
         keys.groupBy("url")
-        .agg(F.min(rank)["page_id"].alias("_winner"), F.count(F.lit(1)).alias("n_rows"))
+        .agg(F.min(rank).alias("_winner"), F.count(F.lit(1)).alias("n_rows"))
+        .withColumn("_winner", F.struct("_winner.captured_url", "_winner.page_id"))
         .filter("n_rows > 1"),
         "repeated-urls",
     )
@@ -131,11 +173,12 @@ def duplicate_captures(pages: DataFrame, workspace: Workspace) -> DataFrame:
         keys, repeated.drop("n_rows"), "url", "page_id", repeated.select("url", "n_rows"), "inner"
     )
     return workspace.table(
-        joined.filter(F.col("page_id") != F.col("_winner")).select(
+        joined.filter(~F.struct("captured_url", "page_id").eqNullSafe(F.col("_winner"))).select(
             "site",
             F.col("captured_url").alias("url"),
             F.lit("admission").alias("stage"),
             F.lit("duplicate").alias("skip_reason"),
+            "captured_url",
             "page_id",
         ),
         "duplicates",

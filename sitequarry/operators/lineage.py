@@ -26,7 +26,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """A folder of stage tables that belongs to one run."""
+    """A folder of stage tables that belongs to one run.
+
+    Used as a context it is dropped at its end; results must be written elsewhere before that.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -34,6 +37,12 @@ class Workspace:
         self.path = f"{checkpoint_root(spark)}/sitequarry-{self.id}"
         self._tables: list[str] = []
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *raised) -> None:
+        self.drop()
+
     def table(self, df: DataFrame, label: str) -> DataFrame:
         """Write ``df`` and read it back."""
         path = f"{self.path}/{len(self._tables)}-{label}"

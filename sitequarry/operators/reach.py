@@ -8,6 +8,8 @@ a breadth-first walk.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,8 +164,9 @@ def reach(
             .agg(F.min(F.struct("path_pos", *rest)).alias("_first"))
             .select("site", "claim", "_first.*")
         )
-        for earlier in frontiers:
-            first = first.join(earlier.select("site", "claim"), ["site", "claim"], "left_anti")
+        if frontiers:
+            claimed = reduce(DataFrame.unionByName, [f.select("site", "claim") for f in frontiers])
+            first = first.join(claimed, ["site", "claim"], "left_anti")
         frontier = workspace.table(first.select(*VISIT), f"wave-{len(frontiers)}")
         frontiers.append(frontier)
         return frontier
@@ -172,19 +175,20 @@ def reach(
     frontier = visit(entries[0].filter("wave = 0"))
     visit(entries[0].filter("wave = 1"))
     while not frontier.isEmpty():
-        entries.append(_follow(frontier, links, len(frontiers)))
+        followed = _follow(frontier, links, len(frontiers))
+        entries.append(workspace.table(followed, f"entries-{len(entries)}"))
         frontier = visit(entries[-1])
-    visits = frontiers[0]
-    for later in frontiers[1:]:
-        visits = visits.unionByName(later)
-    return visits, refusals(entries, visits)
+    visits = reduce(DataFrame.unionByName, frontiers)
+    return visits, workspace.table(refusals(entries, visits), "refusals")
 
 
-def cap_visits(fetched: DataFrame, workspace: Workspace) -> DataFrame:
-    """At most ``max_pages`` fetched pages per site in visit order; 0 means all."""
+def cap_visits(fetched: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
+    """At most ``max_pages`` fetched pages per site in visit order, and the pages beyond; 0 means
+    all (O5)."""
     limited = fetched.filter("max_pages > 0")
     if limited.isEmpty():
-        return fetched
+        return fetched, limited
     order = [F.col("wave"), F.col("path_pos")]
-    first = number_rows(limited, "site", order, workspace).filter("position <= max_pages")
-    return fetched.filter("max_pages <= 0").unionByName(first.drop("position"))
+    numbered = number_rows(limited, "site", order, workspace)
+    within, beyond = (numbered.filter(f"position {op} max_pages") for op in ("<=", ">"))
+    return fetched.filter("max_pages <= 0").unionByName(within.drop("position")), beyond

@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Statuses worth another attempt, and how many attempts there are.
+from sitequarry.functions.urls import hostname
+
+# Statuses worth another attempt.
 RETRYABLE_STATUS = [429, 500, 502, 503, 504]
-MAX_ATTEMPTS = 3
-MAX_BODY_BYTES = 10 * 1024 * 1024
 # Leading characters of PDF, PNG, GIF, JPEG and ZIP bodies.
 BINARY_SIGNATURES = ["%PDF", "\x89PNG", "GIF8", "\xff\xd8\xff", "PK"]
 
 
 def is_retryable(status: Column) -> Column:
-    return status.isin(RETRYABLE_STATUS)
+    """A request that failed has no status; it is worth another attempt too."""
+    return F.coalesce(status.isin(RETRYABLE_STATUS), F.lit(True))
 
 
-def final_attempts(fetches: DataFrame) -> DataFrame:
-    """The attempt that settles each URL: the first not worth retrying, else the third.
+def final_attempts(fetches: DataFrame, max_attempts: int | None = None) -> DataFrame:
+    """The attempt that settles each URL: the first not worth retrying, else the last.
 
-    Only bodies that can become pages travel through the shuffle, and the ranking is
-    limited map-side, so a URL with very many rows is no hot spot.
+    ``max_attempts`` leaves later attempts out.  Only bodies that can become pages travel through
+    the shuffle, and the ranking is limited map-side, so a URL with very many rows is no hot spot.
     """
-    again = is_retryable(F.col("status")) & (F.col("attempt") < MAX_ATTEMPTS)
-    order = Window.partitionBy("url").orderBy(again, "attempt")
-    useful = F.col("status").between(200, 299) & (F.octet_length("body") <= MAX_BODY_BYTES)
+    again = is_retryable(F.col("status"))
+    order = Window.partitionBy("url").orderBy(
+        again, F.when(again, -F.col("attempt")).otherwise(F.col("attempt"))
+    )
+    useful = F.col("status").between(200, 299)
+    counted = F.lit(True) if max_attempts is None else F.col("attempt") <= max_attempts
     return (
-        fetches.filter(F.col("attempt") <= MAX_ATTEMPTS)
+        fetches.filter(counted)
         .withColumn("body_bytes", F.octet_length("body"))
         .withColumn("body", F.when(useful, F.col("body")))
         .withColumn("_rank", F.row_number().over(order))
@@ -45,28 +49,43 @@ def looks_binary(body: Column) -> Column:
     return found
 
 
-def response_skip_reason() -> Column:
-    """First failing response test, or NULL; a NULL status stands for a failed request."""
+def response_skip_reason(max_body_bytes: int | None = None) -> Column:
+    """First failing response test, or NULL; a NULL status stands for a failed request.
+
+    Without ``max_body_bytes`` no size is too large.
+    """
     content_type = F.coalesce(F.col("content_type"), F.lit(""))
+    limit = F.lit(max_body_bytes).cast("long")
     return (
         F.when(~F.coalesce(F.col("status").between(200, 299), F.lit(False)), F.lit("bad status"))
         .when(~F.contains(content_type, F.lit("text/html")), F.lit("not html"))
-        .when(F.col("content_length") > MAX_BODY_BYTES, F.lit("declared too large"))
-        .when(F.col("body_bytes") > MAX_BODY_BYTES, F.lit("body too large"))
+        .when(F.col("content_length") > limit, F.lit("declared too large"))
+        .when(F.col("body_bytes") > limit, F.lit("body too large"))
         .when(looks_binary(F.col("body")), F.lit("binary content"))
         .when(F.coalesce(F.col("body"), F.lit("")) == "", F.lit("empty body"))
     )
 
 
-def classify_responses(fetches: DataFrame) -> DataFrame:
+def classify_responses(
+    fetches: DataFrame, max_attempts: int | None = None, max_body_bytes: int | None = None
+) -> DataFrame:
     """One row per URL with ``skip_reason``; rows without one are pages."""
-    return final_attempts(fetches).withColumn("skip_reason", response_skip_reason())
+    settled = final_attempts(fetches, max_attempts)
+    return settled.withColumn("skip_reason", response_skip_reason(max_body_bytes))
 
 
-def pages_from_fetches(fetches: DataFrame) -> DataFrame:
-    """(url, html) of the attempts that returned a page."""
-    return (
-        classify_responses(fetches)
-        .filter(F.col("skip_reason").isNull())
-        .select("url", F.col("body").alias("html"))
+def pages_from_fetches(classified: DataFrame) -> DataFrame:
+    """(page_id, site, url, html) of the rows of ``classify_responses`` that hold a page."""
+    return classified.filter(F.col("skip_reason").isNull()).select(
+        F.xxhash64("url").alias("page_id"),
+        hostname(F.col("url")).alias("site"),
+        "url",
+        F.col("body").alias("html"),
+    )
+
+
+def refused_fetches(classified: DataFrame) -> DataFrame:
+    """(site, url, stage, skip_reason) of the rows of ``classify_responses`` that hold none."""
+    return classified.filter(F.col("skip_reason").isNotNull()).select(
+        hostname(F.col("url")).alias("site"), "url", F.lit("response").alias("stage"), "skip_reason"
     )

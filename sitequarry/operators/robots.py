@@ -14,8 +14,14 @@ def robots_body(status: Column, body: Column) -> Column:
 
 
 def robots_directives(robots: DataFrame) -> DataFrame:
-    """(site, line_no, directive, value) of the meaningful lines of (site, status, body)."""
-    lines = robots.select(
+    """(site, line_no, directive, value) of the meaningful lines of (site, status, body).
+
+    Of several captures for a site a successful one counts, then the one with the least text.
+    """
+    failed = ~F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    place = Window.partitionBy("site").orderBy(failed, "body")
+    one = robots.withColumn("_place", F.row_number().over(place)).filter("_place = 1")
+    lines = one.select(
         "site",
         F.posexplode(
             F.split(robots_body(F.col("status"), F.col("body")), r"\r\n|\r|\n", -1)
@@ -35,15 +41,47 @@ def robots_directives(robots: DataFrame) -> DataFrame:
     )
 
 
-def pattern_regex(pattern: Column) -> Column:
-    """Anchored regex of a robots path pattern with ``*`` and a final ``$``."""
-    quoted = F.regexp_replace(pattern, r"([\\.+?^{}()|\[\]$])", r"\\$1")
-    starred = F.replace(quoted, F.lit("*"), F.lit(".*"))
-    return F.concat(F.lit("^"), F.regexp_replace(starred, r"\\\$$", r"\$"))
+RULES = "array<struct<len:int,allow:boolean,pieces:array<string>,anchored:boolean>>"
+
+
+def pattern_pieces(pattern: Column) -> tuple[Column, Column]:
+    """What stands between the ``*`` of a robots path pattern, and whether its end is anchored.
+
+    Runs of ``*`` count as one; a final one, also before ``$``, matches any end and is left out.
+    """
+    plain = F.regexp_replace(pattern, r"\*+(\$?)$", "")
+    anchored = F.endswith(plain, F.lit("$"))
+    body = F.when(anchored, F.left(plain, F.length(plain) - 1)).otherwise(plain)
+    return F.split(body, r"\*+", -1), anchored
+
+
+def path_matches(path: Column, pieces: Column, anchored: Column) -> Column:
+    """A path starts with the first piece and holds the others after it in order.
+
+    Each piece is looked for once, from where the one before it ended, so the work grows with the
+    path and not with the number of ways to match it.
+    """
+
+    def after(position: Column, piece: Column) -> Column:
+        found = F.position(piece, path, position)
+        return F.when((position == 0) | (found == 0), 0).otherwise(found + F.length(piece))
+
+    first = F.element_at(pieces, 1)
+    start = F.when(F.startswith(path, first), F.length(first) + 1).otherwise(0)
+    last = F.element_at(pieces, -1)
+    n = F.size(pieces)
+    middle = F.slice(pieces, 2, F.greatest(n - F.when(anchored, 2).otherwise(1), F.lit(0)))
+    end = F.aggregate(middle, start, after)
+    rest = F.length(path) - F.length(last) + 1
+    return (
+        F.when(~anchored, end > 0)
+        .when(n == 1, path == first)
+        .otherwise((end > 0) & (rest >= end) & F.endswith(path, last))
+    )
 
 
 def robots_rules(directives: DataFrame) -> DataFrame:
-    """(site, line_no, allow, pattern, regex, len) of the rules for every agent.
+    """(site, line_no, allow, pattern, pieces, anchored, len) of the rules for every agent.
 
     Consecutive user-agent lines form one group with the rules that follow; only groups
     naming ``*`` count.  A window over a site sees the lines of one robots.txt, never more.
@@ -57,6 +95,7 @@ def robots_rules(directives: DataFrame) -> DataFrame:
         .withColumn("_group", F.sum("_starts").over(by_line))
     )
     group = Window.partitionBy("site", "_group")
+    pieces, anchored = pattern_pieces(clean_robots_path(F.col("value")))
     for_all = F.max((is_agent & (F.col("value") == "*")).cast("int")).over(group)
     return (
         grouped.withColumn("_for_all", for_all)
@@ -67,7 +106,8 @@ def robots_rules(directives: DataFrame) -> DataFrame:
             "line_no",
             (F.col("directive") == "allow").alias("allow"),
             F.col("value").alias("pattern"),
-            pattern_regex(clean_robots_path(F.col("value"))).alias("regex"),
+            pieces.alias("pieces"),
+            anchored.alias("anchored"),
             F.length("value").alias("len"),
         )
     )
@@ -82,14 +122,14 @@ def site_rules(rules: DataFrame) -> DataFrame:
     """(site, rules ARRAY): the rules of a site in one row, as long as its robots.txt."""
     return rules.groupBy("site").agg(
         F.array_sort(
-            F.collect_list(F.struct(F.col("len"), F.col("allow"), F.col("regex")))
+            F.collect_list(F.struct("len", "allow", "pieces", "anchored"))
         ).alias("rules")
     )
 
 
 def robots_allow(path: Column, rules: Column) -> Column:
     """Longest matching rule decides, allow wins a tie, no match allows."""
-    matching = F.filter(rules, lambda r: F.rlike(path, r["regex"]))
+    matching = F.filter(rules, lambda r: path_matches(path, r["pieces"], r["anchored"]))
     best = F.array_max(F.transform(matching, lambda r: F.struct(r["len"], r["allow"])))
     return F.coalesce(best["allow"], F.lit(True))
 

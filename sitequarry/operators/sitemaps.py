@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,18 +20,23 @@ from sitequarry.functions.urls import (
 )
 from sitequarry.operators.computed import with_computed
 from sitequarry.operators.lineage import Workspace
-from sitequarry.operators.skew import spread_join
+from sitequarry.operators.skew import number_rows, spread_join
 
-MAX_SITEMAP_URLS = 1_000
 ROUNDS_PER_TABLE = 4
 
 
 def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
-    """(sitemap_url, pos, loc, is_sitemap) of the readable sitemaps."""
+    """(sitemap_url, pos, loc, is_sitemap) of the readable sitemaps.
+
+    Of several readable captures of a sitemap the one with the least text counts.
+    """
     found = F.regexp_extract_all("xml", F.lit("<loc>(.*?)</loc>"), F.lit(1))
     loc = F.col("loc")
+    place = Window.partitionBy("sitemap_url").orderBy("xml")
     return (
         sitemaps.filter(F.col("status").between(200, 299))
+        .withColumn("_place", F.row_number().over(place))
+        .filter("_place = 1")
         .select("sitemap_url", F.posexplode(found).alias("pos", "loc"))
         .withColumn("loc", decode_xml_entities(trim_all(loc)))
         .withColumn(
@@ -38,9 +45,7 @@ def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_closure(
-    starts: DataFrame, sitemaps: DataFrame, workspace: Workspace, max_rounds: int = 1_000
-) -> DataFrame:
+def sitemap_closure(starts: DataFrame, sitemaps: DataFrame, workspace: Workspace) -> DataFrame:
     """(site, path_pos, url): page URLs of all sitemaps a site reaches, as an ordered bag.
 
     ``starts`` is (site, pos, sitemap_url).  Each sitemap is read once per site, where a
@@ -53,7 +58,7 @@ def sitemap_closure(
     keys = ["site", "sitemap_url"]
     found = starts.groupBy(*keys).agg(F.min(F.array("pos")).alias("path_pos"))
     best = changed = workspace.table(found, "sitemaps-start")
-    for n in range(1, max_rounds + 1):
+    for n in count(1):
         offers = (
             changed.join(links, "sitemap_url")
             .select(
@@ -76,12 +81,11 @@ def sitemap_closure(
         best = best.unionByName(changed).groupBy(*keys).agg(F.min("path_pos").alias("path_pos"))
         if n % ROUNDS_PER_TABLE == 0:
             best = workspace.table(best, "sitemaps-best")
-    else:
-        raise RuntimeError(f"sitemap closure did not settle in {max_rounds} rounds")
     pages = locs.filter("not is_sitemap")
-    return best.join(pages, "sitemap_url").select(
+    listed = best.join(pages, "sitemap_url").select(
         "site", F.array_append("path_pos", F.col("pos")).alias("path_pos"), F.col("loc").alias("url")
     )
+    return workspace.table(listed, "sitemap-closure")
 
 
 def classify_sitemap_urls(urls: DataFrame, sites: DataFrame) -> DataFrame:
@@ -124,20 +128,24 @@ def classify_sitemap_urls(urls: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
-def cap_sitemap_urls(classified: DataFrame, sites: DataFrame) -> DataFrame:
-    """First 1,000 kept URLs of a site, and at most ``max_pages - 1`` when set.
+def cap_sitemap_urls(
+    classified: DataFrame, sites: DataFrame, workspace: Workspace
+) -> tuple[DataFrame, DataFrame]:
+    """The kept URLs of each site within its limits, and (site, url) of those beyond.
 
-    Duplicates count.  The constant limit is applied map-side, so a site with a huge
-    sitemap sends no more than that from each task.
+    ``max_sitemap_urls`` limits a site's list and ``max_pages`` all its pages, of which the base
+    page is one; 0 means no limit.  Duplicates count.
     """
-    order = Window.partitionBy("site").orderBy("path_pos")
-    limits = sites.select("site", F.col("max_pages").alias("_max_pages"))
-    return (
-        classified.filter(F.col("skip_reason").isNull())
-        .drop("skip_reason")
-        .withColumn("_place", F.row_number().over(order))
-        .filter(F.col("_place") <= MAX_SITEMAP_URLS)
-        .join(limits, "site")
-        .filter((F.col("_max_pages") <= 0) | (F.col("_place") <= F.col("_max_pages") - 1))
-        .drop("_place", "_max_pages")
+    limit = F.least(
+        F.when(F.col("max_sitemap_urls") > 0, F.col("max_sitemap_urls")),
+        F.when(F.col("max_pages") > 0, F.col("max_pages") - 1),
+    )
+    limited = sites.select("site", limit.alias("_limit")).filter("_limit IS NOT NULL")
+    kept = classified.filter(F.col("skip_reason").isNull()).drop("skip_reason")
+    marked = workspace.table(spread_join(kept, limited, "site", "url"), "sitemap-limits")
+    numbered = number_rows(
+        marked.filter("_limit IS NOT NULL"), "site", [F.col("path_pos")], workspace
     )
+    free = marked.filter("_limit IS NULL").drop("_limit")
+    within = numbered.filter("position <= _limit").drop("_limit", "position")
+    return free.unionByName(within), numbered.filter("position > _limit").select("site", "url")

@@ -8,21 +8,15 @@ from pyspark.sql import functions as F
 from sitequarry.operators.lineage import Workspace
 
 ROWS_PER_SALT = 1_000_000
-MAX_HOT_KEYS = 1_000
 
 
 def hot_keys(counts: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Keys with more rows than one task should take, and over how many salts to spread them.
 
-    ``counts`` is (key, n_rows).  At most MAX_HOT_KEYS rows come back, so the result is
-    always small enough to broadcast; a key outside the list has fewer rows than any in it,
-    so at most 1/MAX_HOT_KEYS of all rows.
+    ``counts`` is (key, n_rows).  There is at most one such key per ``rows_per_salt`` rows.
     """
-    return (
-        counts.filter(F.col("n_rows") > rows_per_salt)
-        .orderBy(F.desc("n_rows"), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("n_rows") / rows_per_salt).cast("int").alias("_salts"))
+    return counts.filter(F.col("n_rows") > rows_per_salt).select(
+        key, F.ceil(F.col("n_rows") / rows_per_salt).cast("int").alias("_salts")
     )
 
 
@@ -42,7 +36,7 @@ def spread_join(
     """
     if counts is None:
         counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    hot = F.broadcast(hot_keys(counts, key, rows_per_salt))
+    hot = hot_keys(counts, key, rows_per_salt)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = (
         big.join(hot, key, "left")

@@ -117,9 +117,86 @@ def shop_sites(spark: SparkSession, sf_dir: str, capped: bool = False) -> DataFr
         F.col("host").alias("base_url"),
         F.when(F.col("shop") % 2 == 0, F.lit(3)).otherwise(F.lit(2)).alias("depth"),
         cap.alias("max_pages"),
+        F.lit(6 if capped else 0).alias("max_sitemap_urls"),
     )
 
 
+def listed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site per customer: good ones, bad URLs, second rows for a host, and patterns that do not compile."""
+    n = F.col("c_custkey")
+    host = F.concat(F.lit("s"), (n - F.when(n % 5 == 1, 1).otherwise(0)).cast("string"), F.lit(".example.com"))
+    return table(spark, sf_dir, "customer").select(
+        F.when(n % 5 == 2, F.concat(F.lit("http://bad host "), n.cast("string"), F.lit("/x")))
+        .when(n % 5 == 1, F.concat(host, F.lit("/second")))
+        .otherwise(host)
+        .alias("base_url"),
+        F.array(F.when(n % 5 == 3, F.lit("/a(b")).otherwise(F.lit("/a(b)*"))).alias("exclude"),
+    )
+
+
+def fetched_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site for every hundred customers."""
+    n = F.floor(F.col("c_custkey") / 100).cast("string")
+    host = F.concat(F.lit("https://fetched"), n, F.lit(".example.com/"))
+    return table(spark, sf_dir, "customer").select(host.alias("base_url"), F.lit(1).alias("depth")).distinct()
+
+
+def page_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts for one page per customer, linked from the homepage of its site, which is customer 0 of the
+    hundred: failed requests and retries before a good answer, and answers that are none."""
+    customers = table(spark, sf_dir, "customer")
+    n, k = F.col("c_custkey"), F.col("c_custkey") % 100
+    site = F.concat(F.lit("https://fetched"), F.floor(n / 100).cast("string"), F.lit(".example.com"))
+    links = F.array_join(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(99)),
+            lambda i: F.concat(F.lit('<a href="/c/'), i.cast("string"), F.lit('">c</a>')),
+        ),
+        " ",
+    )
+    prose = F.concat(
+        F.lit("<title>"), F.col("c_name"), F.lit("</title><main><p>This customer buys many things and pays for "
+        "them in good time.</p></main>"),
+    )
+    case = F.when(k == 0, 0).otherwise(k % 8)
+    body = (
+        F.when(case == 3, F.lit("%PDF-1.7"))
+        .when(case == 4, F.concat(prose, F.repeat(F.lit("x"), 10_000)))
+        .when(case == 5, F.lit(""))
+        .otherwise(prose)
+    )
+    good = F.struct(
+        F.lit(2).alias("attempt"),
+        F.when(case == 1, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        F.when(case == 2, F.lit("text/css")).otherwise(F.lit("text/html")).alias("content_type"),
+        F.when(case == 6, F.lit(50_000)).cast("long").alias("content_length"),
+        body.alias("body"),
+    )
+    failed = F.struct(
+        F.lit(1).alias("attempt"),
+        F.when(n % 2 == 0, F.lit(503)).alias("status"),
+        F.lit(None).cast("string").alias("content_type"),
+        F.lit(None).cast("long").alias("content_length"),
+        F.lit(None).cast("string").alias("body"),
+    )
+    home = F.struct(
+        F.lit(2).alias("attempt"),
+        F.lit(200).alias("status"),
+        F.lit("text/html").alias("content_type"),
+        F.lit(None).cast("long").alias("content_length"),
+        F.lit("").alias("body"),
+    )
+    rows = customers.select(
+        F.concat(site, F.when(k == 0, F.lit("/")).otherwise(F.concat(F.lit("/c/"), k.cast("string")))).alias("url"),
+        F.explode(F.array(failed, F.when(k == 0, home).otherwise(good))).alias("f"),
+        F.concat(F.lit("<title>Home</title><main><p>All customers of this part of the company are listed below.</p></main>"), links).alias("home"),
+        k.alias("k"),
+    ).select("url", "f.*", "home", "k")
+    return rows.withColumn(
+        "body", F.when((F.col("k") == 0) & (F.col("attempt") == 2), F.col("home")).otherwise(F.col("body"))
+    ).drop("home", "k")
+
+
 def shop_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = (
         "User-agent: *\nDisallow: /private/\nDisallow: /c/13\nAllow: /c/131\n"
@@ -245,7 +322,7 @@ def host_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("kind") == 1,
             F.concat(
                 F.lit("User-Agent: other\nDisallow: /\n\nuser-agent: some\nUser-agent: *\n"),
-                F.lit("Disallow: /*5$ # no fives\nAllow: /*55$\nDisallow:\r\nSitemap: https://"),
+                F.lit("Disallow: /***5$ # no fives\nAllow: /*55$\nDisallow:\r\nSitemap: https://"),
                 F.col("site"), F.lit("/s1.xml\nSitemap: s2.xml\n# Disallow: /\nCrawl-delay: 3\n"),
                 F.lit("Disallow: /es\n"),
             ),
@@ -257,11 +334,12 @@ def host_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three fetch attempts per URL, read from events."""
+    """Three fetch attempts per URL, read from events; a failed request has no status."""
     e = table(spark, sf_dir, "events")
     n = F.col("event_id")
     status = (
-        F.when(F.col("event_type") == "error", F.lit(503))
+        F.when(n % 13 == 0, F.lit(None))
+        .when(F.col("event_type") == "error", F.lit(503))
         .when(F.col("event_type") == "purchase", F.lit(429))
         .when(F.col("event_type") == "view", F.lit(404))
         .otherwise(F.lit(200))
@@ -328,10 +406,16 @@ def flat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("/home/"), slug, F.lit("/"), n.cast("string")))
         .otherwise(F.concat(F.lit("/"), F.lower("p_type"), F.lit("/"), n.cast("string")))
     )
+    # A site of the last kind has its homepage alone; its other parts are homepages of their own.
+    own = F.when(
+        (F.col("kind") == 3) & (n % 50 != 0),
+        F.concat(F.lit("flat-"), n.cast("string"), F.lit(".example.com")),
+    ).otherwise(F.col("site"))
+    path = F.when(F.col("kind") == 3, F.lit("/")).otherwise(path)
     return (
         parts.withColumns({"kind": kind, "site": site})
-        .filter((F.col("kind") != 3) | (n % 50 == 0))
-        .select("site", F.concat(F.lit("https://"), F.col("site"), path).alias("url"), "kind")
+        .withColumns({"site": own, "path": path})
+        .select("site", F.concat(F.lit("https://"), "site", "path").alias("url"), "kind")
     )
 
 

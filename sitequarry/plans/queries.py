@@ -25,6 +25,11 @@ from sitequarry.operators.skew import spread_join
 from sitequarry.plans import derived, site_index
 from sitequarry.sources import tables
 
+# Limits that queries pass in; the operators have none of their own.
+MAX_ATTEMPTS = 3
+MAX_BODY_BYTES = 10 * 1024 * 1024
+MAX_HTML_CHARS = 5 * 1024 * 1024
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -45,7 +50,7 @@ def _captured(spark: SparkSession, sf_dir: str) -> site_index.SiteProducts:
 def _shop_inputs(spark: SparkSession, sf_dir: str, capped: bool = False) -> tuple:
     return (
         tables.complete_sites(derived.shop_sites(spark, sf_dir, capped)),
-        tables.spread_scan(derived.shop_pages(spark, sf_dir), "url"),
+        derived.shop_pages(spark, sf_dir),
         derived.shop_robots(spark, sf_dir),
         derived.shop_sitemaps(spark, sf_dir),
         Workspace(spark),
@@ -166,7 +171,7 @@ def page_final_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = tables.spread_scan(derived.customer_pages(spark, sf_dir), "url")
+    pages = derived.customer_pages(spark, sf_dir)
     return extract.extract(pages).select(
         "c_custkey", "title", "description", "markdown", "skip_reason"
     )
@@ -335,15 +340,11 @@ def section_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segment = F.array(*[F.lit(s) for s in sections.SECTION_BY_SEGMENT])
-    pages = derived.table(spark, sf_dir, "pages").select(
-        "page_id",
-        sections.section_of_segment(
-            F.try_element_at(segment, (F.col("page_id") % 23 + 1).cast("int"))
-        ).alias("section"),
+    path = urls.url_path(F.col("url"))
+    section = sections.section_of_path(urls.page_segments(path))
+    return derived.url_variants(spark, sf_dir).select(
+        "page_id", "variant", section.alias("section"), sections.section_rank(section).alias("rank")
     )
-    section = F.coalesce("section", F.lit("Home"))
-    return pages.select("page_id", section.alias("section"), sections.section_rank(section).alias("rank"))
 
 
 # -- admission ----------------------------------------------------------------------------
@@ -384,7 +385,7 @@ def locale_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def canonical_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    no_rules = F.array().cast("array<struct<len:int,allow:boolean,regex:string>>")
+    no_rules = F.array().cast(robots.RULES)
     none = F.array().cast("array<string>")
     pages = derived.locale_copies(spark, sf_dir).withColumns(
         {"lang": F.lit("en"), "include_rx": none, "exclude_rx": none, "rules": no_rules}
@@ -410,7 +411,9 @@ def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     directives = robots.robots_directives(derived.host_robots(spark, sf_dir))
-    return robots.robots_rules(directives).select("site", "line_no", "allow", "pattern", "regex", "len")
+    return robots.robots_rules(directives).select(
+        "site", "line_no", "allow", "pattern", F.array_join("pieces", "*").alias("plain"), "anchored", "len"
+    )
 
 
 @query
@@ -461,9 +464,11 @@ def sitemap_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sitemap_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites, found = _closure(spark, sf_dir, Workspace(spark))
+    workspace = Workspace(spark)
+    sites, found = _closure(spark, sf_dir, workspace)
     checked = sitemaps.classify_sitemap_urls(found, sites)
-    return sitemaps.cap_sitemap_urls(checked, sites).select("site", "url", "norm_url")
+    kept, _ = sitemaps.cap_sitemap_urls(checked, sites, workspace)
+    return kept.select("site", "url", "norm_url")
 
 
 # -- reach ----------------------------------------------------------------------------------
@@ -482,6 +487,56 @@ def reach_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetched.select("site", "url", "depth", "wave")
 
 
+@query
+def limit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and sitemap URLs that the limits of a site cut off."""
+    found = site_index.discover(*_shop_inputs(spark, sf_dir, capped=True), want_blocks=False)
+    cut = found.dropped.filter(F.startswith("skip_reason", F.lit("over the")))
+    return cut.select("site", "url", "stage", "skip_reason")
+
+
+@query
+def site_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a site list that are refused, and why."""
+    listed = tables.complete_sites(derived.listed_sites(spark, sf_dir))
+    _, refused = admission.check_sites(listed, Workspace(spark))
+    return refused.select(F.col("url").alias("base_url"), "skip_reason")
+
+
+@query
+def site_index_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why pages of sites that were fetched attempt by attempt were left out, and how many stayed."""
+    products = site_index.index_fetched_sites(
+        tables.complete_sites(derived.fetched_sites(spark, sf_dir)),
+        derived.page_fetches(spark, sf_dir),
+        derived.shop_robots(spark, sf_dir).limit(0),
+        derived.shop_sitemaps(spark, sf_dir).limit(0),
+        Workspace(spark),
+        max_attempts=MAX_ATTEMPTS,
+        max_body_bytes=5_000,
+    )
+    kept = products.pages.select("site", F.lit("kept").alias("stage"), F.lit("").alias("skip_reason"))
+    return (
+        products.dropped.select("site", "stage", "skip_reason")
+        .unionByName(kept)
+        .groupBy("site", "stage", "skip_reason")
+        .agg(F.count(F.lit(1)).alias("n_pages"))
+    )
+
+
+@query
+def written_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all captured pages, written as a table of lines and read back."""
+    workspace = Workspace(spark)
+    products = site_index.index_captured_pages(_pages(spark, sf_dir), workspace)
+    products.write(f"{workspace.path}/out", by_site=False)
+    return (
+        spark.read.parquet(f"{workspace.path}/out/index")
+        .groupBy("site", "line")
+        .agg(F.count(F.lit(1)).alias("n_lines"))
+    )
+
+
 @query
 def skip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why URLs were left out, over the whole run of ``site_index_crawled``."""
@@ -517,14 +572,15 @@ def detected_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def final_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return responses.final_attempts(derived.fetch_attempts(spark, sf_dir)).select(
+    return responses.final_attempts(derived.fetch_attempts(spark, sf_dir), MAX_ATTEMPTS).select(
         "url", "attempt", "status"
     )
 
 
 @query
 def response_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return responses.classify_responses(derived.fetch_attempts(spark, sf_dir)).select(
+    fetches = derived.fetch_attempts(spark, sf_dir)
+    return responses.classify_responses(fetches, MAX_ATTEMPTS, MAX_BODY_BYTES).select(
         "url", "skip_reason"
     )
 
@@ -532,7 +588,7 @@ def response_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def extraction_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = derived.order_pages(spark, sf_dir)
-    outcomes = extract.extract(tables.spread_scan(pages, "page_id"))
+    outcomes = extract.extract(pages, max_html_chars=MAX_HTML_CHARS)
     return (
         extract.dropped_pages(outcomes)
         .groupBy("site", "stage", "skip_reason")

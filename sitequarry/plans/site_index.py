@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.functions.text import html_language
+from sitequarry.functions.urls import normalize_url
 from sitequarry.operators.admission import (
+    check_sites,
     duplicate_captures,
     identify_pages,
     invalid_urls,
     site_policy,
-    unique_pages,
 )
 from sitequarry.operators.assemble import (
     full_order,
@@ -40,6 +41,11 @@ from sitequarry.operators.extract import (
 )
 from sitequarry.operators.lineage import Workspace
 from sitequarry.operators.reach import cap_visits, page_links, reach
+from sitequarry.operators.responses import (
+    classify_responses,
+    pages_from_fetches,
+    refused_fetches,
+)
 from sitequarry.operators.robots import (
     robots_directives,
     robots_rules,
@@ -51,7 +57,10 @@ from sitequarry.operators.sitemaps import (
     classify_sitemap_urls,
     sitemap_closure,
 )
-from sitequarry.sinks.products import chosen_products, write_documents
+from sitequarry.sinks.products import chosen_products, write_document_table, write_documents
+
+
+CAPTURE = ["captured_url", "page_id"]
 
 
 class SiteProducts:
@@ -126,34 +135,39 @@ class SiteProducts:
         ]
         return rows.groupBy("site").agg(*sums)
 
-    def write(self, path: str, full: bool = False, json: bool = False) -> None:
-        """Write the chosen products as text, one folder per site (K5)."""
+    def write(
+        self, path: str, full: bool = False, json: bool = False, by_site: bool = True
+    ) -> None:
+        """Write the chosen products: as text, one folder per site, or each as one table of lines,
+        which is the form for very many sites (K5)."""
+        write = write_documents if by_site else write_document_table
         for product in chosen_products(full, json):
             if product == "index":
-                write_documents(self.index(), index_order(), "line", f"{path}/index")
+                write(self.index(), index_order(), "line", f"{path}/index")
             elif product == "full":
-                write_documents(self.full(), full_order(), "text", f"{path}/full")
+                write(self.full(), full_order(), "text", f"{path}/full")
             else:
-                write_documents(self.json(), full_order(), "text", f"{path}/json")
+                write(self.json(), full_order(), "text", f"{path}/json")
 
 
 def index_captured_pages(
-    pages: DataFrame, workspace: Workspace, min_content: int = DEFAULT_MIN_CONTENT
+    pages: DataFrame,
+    workspace: Workspace,
+    min_content: int = DEFAULT_MIN_CONTENT,
+    max_html_chars: int | None = None,
 ) -> SiteProducts:
     """Products of every site among ``pages`` (page_id, site, url, html), from all its pages.
 
-    Parsing and extraction are one narrow pass: content is not shuffled while the repeated
-    captures fit a broadcast, which Spark decides by the size of their table.
+    Repeated captures go before the parse.  Parsing and extraction are one narrow pass: content is not
+    shuffled while the repeated captures fit a broadcast, which Spark decides by the size of their table.
     """
     identified = identify_pages(pages)
     duplicates = duplicate_captures(identified, workspace)
-    extracted = extract(identified, min_content).join(
-        duplicates.select("page_id"), "page_id", "left_anti"
-    )
-    found = workspace.table(extracted, "outcomes")
+    captures = identified.join(duplicates.select(*CAPTURE), CAPTURE, "left_anti")
+    found = workspace.table(extract(captures, min_content, max_html_chars), "outcomes")
     dropped = (
         dropped_pages(found)
-        .unionByName(duplicates.drop("page_id"))
+        .unionByName(duplicates.drop(*CAPTURE))
         .unionByName(invalid_urls(pages))
     )
     return SiteProducts(kept_pages(found), dropped, found, workspace)
@@ -176,14 +190,22 @@ def discover(
     workspace: Workspace,
     escape_globs: bool = False,
     want_blocks: bool = True,
+    max_html_chars: int | None = None,
+    refused_responses: DataFrame | None = None,
 ) -> Discovery:
     """Follow robots rules, sitemaps and links from the base page of each site.
 
-    Without ``want_blocks`` the pages are parsed for their links only.
+    Only pages of listed sites are looked at, and each URL is parsed once.  Without ``want_blocks``
+    the pages are parsed for their links only.  ``refused_responses`` (url, skip_reason) says why
+    there is no page for a URL.
     """
-    found = identify_pages(pages).withColumn("html_lang", html_language(F.col("html")))
+    sites, refused_sites = check_sites(sites, workspace, escape_globs)
+    asked = pages.join(sites.select("site"), "site", "left_semi")
+    found = identify_pages(asked).withColumn("html_lang", html_language(F.col("html")))
+    duplicates = duplicate_captures(found, workspace)
+    captures = found.join(duplicates.select(*CAPTURE), CAPTURE, "left_anti")
     parsed = workspace.keyed_table(
-        unique_pages(parse_for_extraction(found, want_blocks)), "parsed", "url", exchanged=True
+        parse_for_extraction(captures, want_blocks, max_html_chars), "parsed", "url"
     )
     directives = workspace.table(robots_directives(robots), "robots")
     rules = site_rules(robots_rules(directives))
@@ -193,7 +215,8 @@ def discover(
     listed = sitemap_closure(sitemap_locations(sites, directives), sitemaps, workspace)
     checked = workspace.table(classify_sitemap_urls(listed, policy), "sitemap-urls")
     links = workspace.keyed_table(page_links(parsed, policy), "links", "url")
-    visits, refused = reach(policy, cap_sitemap_urls(checked, policy), links, workspace)
+    seeds, unread = cap_sitemap_urls(checked, policy, workspace)
+    visits, refused = reach(policy, seeds, links, workspace)
     captured = parsed.select("url")
     fetched = workspace.table(
         visits.drop("claim", "max_depth").join(captured, "url"), "fetched"
@@ -201,14 +224,33 @@ def discover(
     unlisted = checked.filter("skip_reason IS NOT NULL").select(
         "site", "url", F.lit("sitemap").alias("stage"), "skip_reason"
     )
-    missing = visits.join(captured, "url", "left_anti").select(
-        "site",
-        "url",
-        F.lit("response").alias("stage"),
-        F.lit("non-HTML or failed").alias("skip_reason"),
+    missing = visits.join(captured, "url", "left_anti").select("site", "url")
+    reason = F.lit("non-HTML or failed")
+    if refused_responses is not None:
+        known = refused_responses.select(
+            normalize_url(F.col("url")).alias("url"), F.col("skip_reason").alias("_why")
+        )
+        known = known.groupBy("url").agg(F.min("_why").alias("_why"))
+        missing, reason = missing.join(known, "url", "left"), F.coalesce("_why", reason)
+    missing = missing.select(
+        "site", "url", F.lit("response").alias("stage"), reason.alias("skip_reason")
+    )
+    within, beyond = cap_visits(fetched, workspace)
+
+    def cut(rows: DataFrame, stage: str, why: str) -> DataFrame:
+        return rows.select(
+            "site", "url", F.lit(stage).alias("stage"), F.lit(why).alias("skip_reason")
+        )
+
+    dropped = (
+        refused.unionByName(unlisted)
+        .unionByName(missing)
+        .unionByName(refused_sites)
+        .unionByName(duplicates.drop(*CAPTURE))
+        .unionByName(cut(unread, "sitemap", "over the sitemap limit"))
+        .unionByName(cut(beyond, "response", "over the page limit"))
     )
-    dropped = refused.unionByName(unlisted).unionByName(missing)
-    return Discovery(parsed, cap_visits(fetched, workspace), dropped)
+    return Discovery(parsed, within, dropped)
 
 
 def build_site_index(
@@ -218,14 +260,55 @@ def build_site_index(
     sitemaps: DataFrame,
     workspace: Workspace,
     escape_globs: bool = False,
+    max_html_chars: int | None = None,
+    refused_responses: DataFrame | None = None,
 ) -> SiteProducts:
     """Products of the listed sites from the pages they reach.
 
     ``sites`` comes from ``complete_sites``; ``robots`` is (site, status, body), ``sitemaps``
     (sitemap_url, status, xml), ``pages`` (page_id, site, url, html).
     """
-    found = discover(sites, pages, robots, sitemaps, workspace, escape_globs)
+    found = discover(
+        sites,
+        pages,
+        robots,
+        sitemaps,
+        workspace,
+        escape_globs,
+        max_html_chars=max_html_chars,
+        refused_responses=refused_responses,
+    )
     reached = found.fetched.join(found.parsed.drop("site"), "url")
-    outcomes = workspace.table(extract_parsed(reached, "min_content_length"), "outcomes")
+    extracted = extract_parsed(reached, "min_content_length", max_html_chars)
+    outcomes = workspace.table(extracted, "outcomes")
     dropped = dropped_pages(outcomes).unionByName(found.dropped)
     return SiteProducts(kept_pages(outcomes), dropped, outcomes, workspace, sites)
+
+
+def index_fetched_sites(
+    sites: DataFrame,
+    fetches: DataFrame,
+    robots: DataFrame,
+    sitemaps: DataFrame,
+    workspace: Workspace,
+    escape_globs: bool = False,
+    max_attempts: int | None = None,
+    max_body_bytes: int | None = None,
+    max_html_chars: int | None = None,
+) -> SiteProducts:
+    """``build_site_index`` over recorded fetch attempts (url, attempt, status, content_type,
+    content_length, body) instead of pages; a visit without a page gets the reason of its response.
+    """
+    settled = workspace.table(
+        classify_responses(fetches, max_attempts, max_body_bytes), "responses"
+    )
+    return build_site_index(
+        sites,
+        pages_from_fetches(settled),
+        robots,
+        sitemaps,
+        workspace,
+        escape_globs,
+        max_html_chars,
+        refused_fetches(settled),
+    )

@@ -1,4 +1,4 @@
-"""Writing the products: one folder per site, part files in document order (K5)."""
+"""Writing the products, in document order: as a table of lines, or one folder per site (K5)."""
 
 from __future__ import annotations
 
@@ -22,6 +22,12 @@ def write_documents(rows: DataFrame, order: list[Column], text: str, path: str)
     )
 
 
+def write_document_table(rows: DataFrame, order: list[Column], text: str, path: str) -> None:
+    """Write text rows of all sites as one table (site, text), range partitioned and sorted in
+    document order; its number of files does not depend on the number of sites."""
+    rows.orderBy("site", *order).select("site", text).write.mode("overwrite").parquet(path)
+
+
 def chosen_products(full: bool = False, json: bool = False) -> tuple[str, ...]:
     """JSON stands in for the index and ends the run; the full bundle comes on top of it."""
     if json:

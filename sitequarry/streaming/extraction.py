@@ -9,16 +9,29 @@ over the table written here.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sitequarry.operators.admission import identify_pages
+from sitequarry.functions.urls import normalize_url
+from sitequarry.operators.computed import with_computed
 from sitequarry.operators.extract import DEFAULT_MIN_CONTENT, extract
 from sitequarry.operators.lineage import checkpoint_root
 
 
 def extract_stream(pages: DataFrame, min_content: int = DEFAULT_MIN_CONTENT) -> DataFrame:
-    """Outcome rows of a stream of (…, site, url, html)."""
-    return extract(identify_pages(pages), min_content)
+    """Outcome rows of a stream of (…, site, url, html); a row without an http(s) URL has that as its
+    ``skip_reason`` and keeps the URL as captured."""
+    named = with_computed(
+        pages.withColumn("captured_url", F.col("url")), {"_normal": normalize_url(F.col("url"))}
+    )
+    readable = named.withColumns(
+        {
+            "url": F.coalesce("_normal", "url"),
+            "html": F.when(F.col("_normal").isNotNull(), F.col("html")),
+        }
+    )
+    reason = F.when(F.col("_normal").isNull(), F.lit("invalid url")).otherwise(F.col("skip_reason"))
+    return extract(readable, min_content).withColumn("skip_reason", reason).drop("_normal")
 
 
 def start_extraction(

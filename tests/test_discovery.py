@@ -1,12 +1,16 @@
 """robots.txt, sitemaps, responses and link following on small hand-made sites."""
 
+import time
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from sitequarry.operators import responses, robots, sitemaps
+from sitequarry.operators.admission import check_sites
 from sitequarry.operators.lineage import Workspace
 from sitequarry.operators.skew import number_rows, spread_join
-from sitequarry.plans.site_index import build_site_index
+from sitequarry.plans.site_index import build_site_index, index_captured_pages
 from sitequarry.sources.tables import complete_sites, read_html_files
 
 SITE = "https://s.org"
@@ -37,6 +41,17 @@ def rules_of(spark, body, status=200):
         ("User-agent: *\nSitemap: /s.xml\nDisallow: /c", "/c", False),
         ("User-agent: *\nDisallow: /a\n\nUser-agent: *\nDisallow: /b", "/b", False),
         ("", "/a", True),
+        ("User-agent: *\nDisallow: /**b", "/a/b", False),
+        ("User-agent: *\nDisallow: /a*", "/a", False),
+        ("User-agent: *\nDisallow: /a*$", "/ab", False),
+        ("User-agent: *\nDisallow: /a*b$", "/ab/b", False),
+        ("User-agent: *\nDisallow: /ab*b$", "/ab", True),
+        ("User-agent: *\nDisallow: /a$", "/a", False),
+        ("User-agent: *\nDisallow: /a$", "/a/", True),
+        ("User-agent: *\nDisallow: /a*b*c", "/axcxb", True),
+        ("User-agent: *\nDisallow: /a*b*c", "/axbxxc/", False),
+        ("User-agent: *\nDisallow: *x", "/a/x", False),
+        ("User-agent: *\nDisallow: /a$b", "/a$b", False),
     ],
 )
 def test_robots_rules(spark, body, path, allowed):
@@ -45,6 +60,21 @@ def test_robots_rules(spark, body, path, allowed):
     assert joined.select(robots.robots_allow(F.col("path"), F.col("rules"))).first()[0] is allowed
 
 
+def test_stars_do_not_make_a_path_slow(spark):
+    rules = rules_of(spark, "User-agent: *\nDisallow: /******b\nDisallow: /*a*a*a*a*a*a*a*a*b")
+    pages = spark.createDataFrame([("s.org", "/" + "a" * 10_000)] * 20, "site string, path string")
+    start = time.time()
+    allowed = pages.join(rules, "site").select(robots.robots_allow(F.col("path"), F.col("rules")))
+    assert {r[0] for r in allowed.collect()} == {True}
+    assert time.time() - start < 10
+
+
+def test_one_robots_capture_per_site(spark):
+    bodies = [("s.org", 404, "User-agent: *\nDisallow: /"), ("s.org", 200, "User-agent: *\nDisallow: /a"), ("s.org", 200, "User-agent: *\nDisallow: /a")]
+    directives = robots.robots_directives(spark.createDataFrame(bodies, ROBOTS))
+    assert [r.value for r in directives.orderBy("line_no").collect()] == ["*", "/a"]
+
+
 def test_failed_robots_allow_everything(spark):
     assert rules_of(spark, "User-agent: *\nDisallow: /", 500).count() == 0
 
@@ -95,6 +125,80 @@ def test_sitemap_urls_repeat_and_starts_count_once(spark, workspace):
     assert closure(spark, workspace, files, ("a.xml", "b.xml", "a.xml")) == ["p", "p", "p"]
 
 
+def test_repeated_sitemap_captures_count_once(spark, workspace):
+    xml = [(f"{SITE}/a.xml", 200, f"<loc>{SITE}/p</loc><loc>{SITE}/q</loc>")] * 2 + [(f"{SITE}/a.xml", 500, "<loc>x</loc>")]
+    starts = spark.createDataFrame([("s.org", 0, f"{SITE}/a.xml")], "site string, pos int, sitemap_url string")
+    found = sitemaps.sitemap_closure(starts, spark.createDataFrame(xml, SITEMAPS), workspace)
+    assert sorted(r.url for r in found.collect()) == [f"{SITE}/p", f"{SITE}/q"]
+
+
+def test_limits_report_what_they_cut(spark, workspace):
+    n = 1_500
+    host = "long.s.org"
+    listed = "".join(f"<loc>https://{host}/p/{i:04d}</loc>" for i in range(n))
+    pages = [(0, host, f"https://{host}/", html("/a", "/b", "/c"))]
+    pages += [(1 + i, host, f"https://{host}/p/{i:04d}", html()) for i in range(n)]
+    pages += [(9000 + i, host, f"https://{host}/{x}", html()) for i, x in enumerate("abc")]
+    inputs = (
+        spark.createDataFrame(pages, PAGES),
+        spark.createDataFrame([], ROBOTS),
+        spark.createDataFrame([(f"https://{host}/sitemap.xml", 200, listed)], SITEMAPS),
+        workspace,
+    )
+    everything = {p[2] for p in pages}
+    for options, kept, reasons in (
+        ({}, n + 4, {}),
+        ({"max_sitemap_urls": 1_200}, 1_204, {"over the sitemap limit": 300}),
+        ({"max_pages": 3}, 3, {"over the sitemap limit": n - 2, "over the page limit": 3}),
+    ):
+        schema = "base_url string" + "".join(f", {k} int" for k in options)
+        sites = complete_sites(spark.createDataFrame([(host, *options.values())], schema))
+        built = build_site_index(sites, *inputs)
+        urls = [r.url for r in built.pages.collect()]
+        dropped = [(r.url, r.skip_reason) for r in built.dropped.collect()]
+        assert len(urls) == len(set(urls)) == kept
+        counts = Counter(reason for _, reason in dropped)
+        assert counts == reasons
+        assert set(urls) | {u for u, _ in dropped} == everything
+
+
+def test_site_rows_that_cannot_be_used_are_reported(spark, workspace):
+    rows = [
+        ("good.org", ["/a(b)*"]),
+        ("good.org/second", []),
+        ("http://bad host/x", []),
+        ("odd.org", ["/a(b"]),
+        ("odder.org", ["/x", "[a"]),
+    ]
+    sites = complete_sites(spark.createDataFrame(rows, "base_url string, exclude array<string>"))
+    good, refused = check_sites(sites, workspace)
+    assert [r.site for r in good.collect()] == ["good.org"]
+    assert sorted((r.url, r.skip_reason) for r in refused.collect()) == [
+        ("http://bad host/x", "invalid url"),
+        ("https://good.org/second", "duplicate site"),
+        ("https://odd.org", "invalid pattern"),
+        ("https://odder.org", "invalid pattern"),
+    ]
+    assert check_sites(sites, workspace, escape_globs=True)[0].count() == 3
+
+
+def test_page_ids_need_not_be_unique(spark, workspace):
+    text = html()
+    rows = [(1, "a.org", "https://a.org/x?y", text), (1, "a.org", "https://a.org/x", text), (1, "a.org", "https://a.org/z", text)]
+    built = index_captured_pages(spark.createDataFrame(rows, PAGES), workspace)
+    assert sorted(r.url for r in built.pages.collect()) == ["https://a.org/x", "https://a.org/z"]
+    assert [(r.url, r.skip_reason) for r in built.dropped.collect()] == [("https://a.org/x?y", "duplicate")]
+
+
+def test_more_hot_keys_than_a_short_list_holds(spark):
+    big = spark.range(6_000).select((F.col("id") % 1_500).alias("k"), "id")
+    small = spark.range(1_500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = spread_join(big, small, "k", "id", rows_per_salt=2)
+    assert joined.filter("v = 2 * k").count() == 6_000
+    plan = joined._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" not in plan and "broadcast" not in plan.lower()
+
+
 def test_responses(spark):
     ok = ("text/html", None, "<html>")
     rows = [
@@ -106,15 +210,23 @@ def test_responses(spark):
         ("pdf", 1, 200, "text/html", None, "%PDF-1"), ("zip", 1, 200, "text/html", None, "PK\x03"),
         ("empty", 1, 200, "text/html", None, ""), ("large", 1, 200, "text/html", None, "é" * 5242881),
         ("failed", 1, None, None, None, None),
+        ("recovered", 1, None, None, None, None), ("recovered", 2, 200, *ok),
     ]
     df = spark.createDataFrame(rows, "url string, attempt int, status int, content_type string, content_length long, body string")
-    found = {r.url: r.skip_reason for r in responses.classify_responses(df).collect()}
+    classified = responses.classify_responses(df, max_attempts=3, max_body_bytes=10_485_760)
+    found = {r.url: r.skip_reason for r in classified.collect()}
     assert found == {
         "retried": None, "gives up": "bad status", "fourth": "bad status", "plain": "not html",
         "untyped": "not html", "declared": "declared too large", "limit": None, "pdf": "binary content",
         "zip": "binary content", "empty": "empty body", "large": "body too large", "failed": "bad status",
+        "recovered": None,
     }
-    assert {r.url for r in responses.pages_from_fetches(df).collect()} == {"retried", "limit"}
+    kept = responses.pages_from_fetches(classified).collect()
+    assert {r.url for r in kept} == {"retried", "limit", "recovered"} and all(r.page_id for r in kept)
+    refused = responses.refused_fetches(classified)
+    assert refused.count() + len(kept) == len(found)
+    unlimited = {r.url: r.skip_reason for r in responses.classify_responses(df).collect()}
+    assert unlimited["fourth"] is unlimited["large"] is unlimited["declared"] is None
 
 
 def html(*links, lang=""):
@@ -269,11 +381,17 @@ def test_number_rows_across_partitions(spark, workspace):
         assert [v for _, v in rows] == sorted(v for _, v in rows)
 
 
-def test_html_files_as_pages(spark, tmp_path):
+def test_html_files_as_pages(spark, workspace, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "a.html").write_text("<p>a</p>")
     (tmp_path / "index.html").write_text("<p>i</p>")
-    rows = read_html_files(spark, str(tmp_path), "https://s.org/").orderBy("url").collect()
-    assert [(r.site, r.url, r.html) for r in rows] == [
-        ("s.org", "https://s.org/docs/a.html", "<p>a</p>"), ("s.org", "https://s.org/index.html", "<p>i</p>"),
-    ]
+    (tmp_path / "docs" / "a b.html").write_text(html())
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/docs/.."):
+        rows = read_html_files(spark, root, "https://s.org/").orderBy("url").collect()
+        assert [(r.site, r.url) for r in rows] == [
+            ("s.org", "https://s.org/docs/a%20b.html"), ("s.org", "https://s.org/docs/a.html"), ("s.org", "https://s.org/index.html"),
+        ]
+    assert len({r.page_id for r in rows}) == 3
+    built = index_captured_pages(read_html_files(spark, str(tmp_path), "https://s.org"), workspace)
+    assert [r.url for r in built.pages.collect()] == ["https://s.org/docs/a%20b"]
+    assert built.dropped.count() == 2

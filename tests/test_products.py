@@ -15,18 +15,21 @@ PAGE = "site string, url string, title string, description string, fallback_desc
 DROPPED = "site string, url string, stage string, skip_reason string"
 
 
-def page(path, title="Introduction", description="Getting started guide", section="Docs", **other):
-    fallback = other.get("fallback", "Welcome to the docs.")
-    markdown = other.get("markdown", "# Introduction\n\nWelcome to the docs.")
-    return ("example.com", f"https://example.com{path}", title, description, fallback, markdown, section)
+HOST = "harbour.test"
 
 
-def products(spark, pages, description="An example site", name="Example"):
+def page(path, title="Locks", description="How the lock works", section="Port", **other):
+    fallback = other.get("fallback", "Ships pass at high tide.")
+    markdown = other.get("markdown", "# Locks\n\nShips pass at high tide.")
+    return (HOST, f"https://{HOST}{path}", title, description, fallback, markdown, section)
+
+
+def products(spark, pages, description="Notes from the bay", name="Harbour"):
     df = spark.createDataFrame(pages, PAGE)
     built = SiteProducts(df, spark.createDataFrame([], DROPPED), df, Workspace(spark))
-    sites = spark.createDataFrame([("example.com",)], "site string")
+    sites = spark.createDataFrame([(HOST,)], "site string")
     built.headers = sites.select(
-        "site", F.lit("https://example.com").alias("base_url"), F.lit(name).alias("name"),
+        "site", F.lit("https://harbour.test").alias("base_url"), F.lit(name).alias("name"),
         F.lit(description).alias("description"),
     )
     return built
@@ -49,15 +52,15 @@ def listing(built):
 
 
 def test_index_of_one_page(spark):
-    assert index(products(spark, [page("/docs/intro")])) == (
-        "# Example\n\n> An example site\n\n## Docs\n\n"
-        "- [Introduction](https://example.com/docs/intro): Getting started guide\n"
+    assert index(products(spark, [page("/port/locks")])) == (
+        "# Harbour\n\n> Notes from the bay\n\n## Port\n\n"
+        "- [Locks](https://harbour.test/port/locks): How the lock works\n"
     )
 
 
 def test_index_without_descriptions(spark):
-    built = products(spark, [page("/docs/intro", description="", fallback="")], description="")
-    assert index(built) == "# Example\n\n## Docs\n\n- [Introduction](https://example.com/docs/intro)\n"
+    built = products(spark, [page("/port/locks", description="", fallback="")], description="")
+    assert index(built) == "# Harbour\n\n## Port\n\n- [Locks](https://harbour.test/port/locks)\n"
 
 
 def test_index_orders_sections_and_pages(spark):
@@ -79,12 +82,12 @@ def test_index_orders_sections_and_pages(spark):
 
 def test_products_without_pages(spark):
     built = products(spark, [])
-    assert index(built) == full(built) == "# Example\n\n> An example site\n"
+    assert index(built) == full(built) == "# Harbour\n\n> Notes from the bay\n"
     assert listing(built)["pages"] == []
 
 
 def test_generic_descriptions_give_way(spark):
-    same = "Generic site description"
+    same = "Everything about the bay"
     pages = [page(f"/a/{x}", x, same, fallback=f"About {x}.") for x in "abc"]
     pages.append(page("/a/d", "d", "Its own", fallback="Unused."))
     text = index(products(spark, pages))
@@ -102,7 +105,7 @@ def test_generic_threshold(spark, n, shared, generic):
 def test_flat_sites(spark):
     def sections(*pages):
         described = describe.describe_pages(spark.createDataFrame(list(pages), PAGE))
-        return {r.url[19:]: r.index_section for r in described.collect()}
+        return {r.url[len(HOST) + 8:]: r.index_section for r in described.collect()}
 
     home = lambda path: page(path, section="Home")
     assert sections(home("/"), home("/a"), home("/b")) == {"/": "", "/a": "", "/b": ""}
@@ -118,15 +121,15 @@ def test_flat_sites(spark):
 def test_flat_index_has_no_section_header(spark):
     built = products(spark, [page("/a", "A", "", "Home", fallback=""), page("/", "H", "", "Home", fallback="")])
     assert index(built) == (
-        "# Example\n\n> An example site\n\n- [H](https://example.com/)\n- [A](https://example.com/a)\n"
+        "# Harbour\n\n> Notes from the bay\n\n- [H](https://harbour.test/)\n- [A](https://harbour.test/a)\n"
     )
 
 
 def test_full_bundle(spark):
     pages = [page("/b", "Page B", markdown="Content B"), page("/a", "Page A", markdown="Content A")]
     assert full(products(spark, pages)) == (
-        "# Example\n\n> An example site\n\n---\n\n## Page A\n\nSource: https://example.com/a\n\nContent A\n\n"
-        "---\n\n## Page B\n\nSource: https://example.com/b\n\nContent B\n"
+        "# Harbour\n\n> Notes from the bay\n\n---\n\n## Page A\n\nSource: https://harbour.test/a\n\nContent A\n\n"
+        "---\n\n## Page B\n\nSource: https://harbour.test/b\n\nContent B\n"
     )
 
 
@@ -134,12 +137,12 @@ def test_json_listing(spark):
     pages = [page("/b", 'B "quoted" \\ é\n', "d", "Home"), page("/a", "A", "", "Docs")]
     built = products(spark, pages)
     expected = {
-        "name": "Example",
-        "description": "An example site",
-        "url": "https://example.com",
+        "name": "Harbour",
+        "description": "Notes from the bay",
+        "url": "https://harbour.test",
         "pages": [
-            {"url": "https://example.com/a", "title": "A", "description": "", "section": "Docs"},
-            {"url": "https://example.com/b", "title": 'B "quoted" \\ é\n', "description": "d", "section": "Home"},
+            {"url": "https://harbour.test/a", "title": "A", "description": "", "section": "Docs"},
+            {"url": "https://harbour.test/b", "title": 'B "quoted" \\ é\n', "description": "d", "section": "Home"},
         ],
     }
     assert document(built.json(), assemble.full_order(), "text") == (
@@ -153,7 +156,7 @@ def test_site_header_comes_from_the_homepage(spark):
     headers = describe.site_headers(describe.site_facts(describe.with_second_section(df)))
     found = {r.site: (r.name, r.description, r.base_url) for r in headers.collect()}
     assert found == {
-        "example.com": ("Home title", "Home words", "https://example.com"),
+        "harbour.test": ("Home title", "Home words", "https://harbour.test"),
         "www.other.org": ("Other", "", "https://www.other.org"),
     }
 

@@ -19,6 +19,12 @@ def test_stream_equals_batch_and_goes_on(spark, tmp_path):
         part.write.mode("append").parquet(source)
         stream = spark.readStream.schema(pages.schema).parquet(source)
         start_extraction(stream, target, name).awaitTermination()
+    bad = spark.createDataFrame([(-1, "no url", "<p>x</p>", None)], pages.schema)
+    bad.write.mode("append").parquet(source)
+    start_extraction(stream, target, name).awaitTermination()
     batch = extract(identify_pages(pages))
     streamed = spark.read.parquet(target).select(batch.columns)
+    (refused,) = streamed.filter("skip_reason = 'invalid url'").collect()
+    assert refused.url == refused.captured_url == "no url" and refused.markdown == ""
+    streamed = streamed.filter("page_id >= 0")
     assert sorted(map(repr, streamed.collect())) == sorted(map(repr, batch.collect()))

@@ -1,20 +1,21 @@
 """Arrow batches of texts as numpy arrays: words, their hashes, and sliding windows over them.
 
-Texts stay UTF-8 bytes in one buffer; a batch is cut into slices of a few MB, so the memory of a
+Texts stay UTF-8 bytes in one buffer; a batch is cut into slices of a MB, so the memory of a
 task depends on the slice size and on the longest single text, not on the number of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from sitequarry.llm.shipping import ship
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes that `[\x20\x09-\x0D]` matches.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,6 +44,18 @@ def map_batches(
     return map_partitions(df, run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows, for jobs run inside whose rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def map_partitions(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
@@ -72,7 +85,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its rows; null is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()

@@ -4,11 +4,12 @@
 2. A shingle weighs (1 + ln tf) * (1 + IDF_SHARE * ln(N / df) / ln N).  The share is small, as a high one would
    let the few words in which two copies differ outweigh the many that a large group of copies has made
    frequent.  Each text gets BANDS * ROWS consistent samples; texts with an equal band share a bucket.
-3. Equal texts are one node from here on.  Each node of a bucket is compared with the bucket's least node by
-   weighted Jaccard similarity; links of THRESHOLD or more give components.
+3. Equal texts are one node from here on.  Each node of a bucket is compared with the bucket's pivot by weighted
+   Jaccard similarity; links of THRESHOLD or more give components.  The pivot is the node whose shingles are the
+   most frequent on average: among copies with edits, the one with the fewest.
 4. Where a bucket still has several components, nodes of different ones are compared too, unless their distances
-   to the least node differ by more than a link allows (the distance is a metric), or fewer than MIN_AGREEING of
-   their samples agree.  The cost follows the pairs that are still open, not the square of a group of copies.
+   to the pivot differ by more than a link allows (the distance is a metric), or fewer than MIN_AGREEING of
+   ESTIMATORS further samples agree.  The cost follows the pairs that are still open, not the square of a group.
 5. Components of all links are the classes.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z in lower case; a text of fewer than five
@@ -31,6 +32,7 @@ from sitequarry.llm.batches import (
     mix,
     rows_of,
     slices,
+    small_batches,
     utf8,
     window_hashes,
     window_starts,
@@ -44,11 +46,13 @@ from sitequarry.operators.lineage import Workspace
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
-#: A link's samples agree with chance 0.8 or more; fewer than this many of 56 happens to one link in a million.
-MIN_AGREEING = 30
+#: Each sample of a link agrees with chance 0.8 or more; fewer than MIN_AGREEING of ESTIMATORS (four standard
+#: deviations below that) happens to three links in 100,000, a small part of what the bands may miss.
+ESTIMATORS, MIN_AGREEING = 512, 373
 IDF_SHARE = 0.1
 DF_BITS = 18
-_TABLE_BITS = 15
+#: A pair carries two vectors, so few of them go to Python at once.
+PAIRS_PER_BATCH = 200
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
@@ -103,9 +107,10 @@ class Sampler:
     """Improved consistent weighted sampling: sample j of a weighted set is the pair (k, t) of an element and
     a level that two sets share with a chance equal to their weighted Jaccard similarity."""
 
-    def __init__(self):
-        rng = np.random.default_rng(7)
-        shape = (BANDS * ROWS, 1 << _TABLE_BITS)
+    def __init__(self, n: int, seed: int, table_bits: int):
+        rng = np.random.default_rng(seed)
+        self.shift = np.uint64(64 - table_bits)
+        shape = (n, 1 << table_bits)
         self.keys = rng.integers(0, 2**63, shape[0], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         # An element's random numbers are drawn from tables by its hash.
         self.r = rng.gamma(2, 1, shape).astype(np.float32)
@@ -119,7 +124,7 @@ class Sampler:
         place = np.arange(len(hashes), dtype=np.int64)
         found = np.empty((len(first), len(self.keys)), np.uint64)
         for j, key in enumerate(self.keys):
-            at = ((hashes * key) >> np.uint64(64 - _TABLE_BITS)).view(np.int64)
+            at = ((hashes * key) >> self.shift).view(np.int64)
             r, beta = self.r[j].take(at), self.beta[j].take(at)
             t = np.floor(logs / r + beta)
             rank = (self.log_c[j].take(at) - r * (t - beta + 1)).view(np.int32).astype(np.int64)
@@ -132,8 +137,14 @@ class Sampler:
 
 @lru_cache(maxsize=1)
 def sampler() -> Sampler:
-    """The process's sampler; its tables are the same everywhere."""
-    return Sampler()
+    """The process's sampler for bands; its tables are the same everywhere."""
+    return Sampler(BANDS * ROWS, 7, 15)
+
+
+@lru_cache(maxsize=1)
+def estimator() -> Sampler:
+    """The process's sampler for estimates."""
+    return Sampler(ESTIMATORS, 11, 12)
 
 
 def _weights(hashes: np.ndarray, tf: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -145,34 +156,51 @@ def digest(text: Column) -> Column:
 
 
 def _sign(texts: DataFrame, factors) -> DataFrame:
-    """(doc_id, node, buckets, samples) of ``texts`` (doc_id, node, text)."""
+    """(doc_id, node, rarity, buckets) of ``texts`` (doc_id, node, text)."""
 
     def sign(batch: pa.RecordBatch):
         for part in slices(batch):
             hashes, tf, bounds = shingles(part.column("text"))
             some = np.flatnonzero(np.diff(bounds))
-            buckets, samples = [None] * part.num_rows, [None] * part.num_rows
+            buckets = [None] * part.num_rows
+            rarity = np.zeros(part.num_rows)
             if len(some):
                 used = np.append(bounds[:-1][some], bounds[-1])
+                sums = np.add.reduceat(factors.value[cells(hashes)], used[:-1], dtype=np.float64)
+                rarity[some] = sums / np.diff(used)
                 found = sampler().samples(hashes, _weights(hashes, tf, factors.value), used)
                 bands = found.reshape(len(some), BANDS, ROWS)
                 keys = np.zeros((len(some), BANDS), np.uint64)
                 for i in range(ROWS):
                     keys = mix(keys + bands[:, :, i] + np.arange(BANDS, dtype=np.uint64))
-                short = (found & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
-                for row, k, s in zip(some.tolist(), keys.view(np.int64).tolist(), short, strict=True):
-                    buckets[row], samples[row] = k, s
+                for row, own in zip(some.tolist(), keys.view(np.int64).tolist(), strict=True):
+                    buckets[row] = own
             yield {
                 "doc_id": part.column("doc_id"),
                 "node": part.column("node"),
+                "rarity": rarity,
                 "buckets": buckets,
-                "samples": samples,
             }
 
-    kinds = "doc_id bigint, node binary, buckets array<bigint>, samples array<smallint>"
+    kinds = "doc_id bigint, node binary, rarity double, buckets array<bigint>"
     return map_batches(texts, sign, kinds)
 
 
+def _estimates(vectors: DataFrame) -> DataFrame:
+    """(node, samples) of ``vectors``."""
+
+    def estimate(batch: pa.RecordBatch):
+        for part in slices(batch, "hashes"):
+            hashes = [np.frombuffer(h.as_py(), np.uint64) for h in part.column("hashes")]
+            weights = [np.frombuffer(w.as_py(), "<f4") for w in part.column("weights")]
+            bounds = np.cumsum([0, *map(len, hashes)])
+            found = estimator().samples(np.concatenate(hashes), np.concatenate(weights), bounds)
+            short = (found & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
+            yield {"node": part.column("node"), "samples": list(short)}
+
+    return map_batches(vectors, estimate, "node binary, samples array<smallint>")
+
+
 def _vectors(texts: DataFrame, factors) -> DataFrame:
     """(node, hashes, weights) of ``texts`` (node, text), as packed numbers."""
 
@@ -205,8 +233,11 @@ def _compare(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     right = vectors.toDF("b", "hb", "wb")
 
     def compare(batch: pa.RecordBatch):
-        columns = [batch.column(c).to_pylist() for c in ("ha", "wa", "hb", "wb")]
-        found = [weighted_jaccard((ha, wa), (hb, wb)) for ha, wa, hb, wb in zip(*columns, strict=True)]
+        columns = [batch.column(c) for c in ("ha", "wa", "hb", "wb")]
+        found = []
+        for row in range(batch.num_rows):
+            ha, wa, hb, wb = (c[row].as_py() for c in columns)
+            found.append(weighted_jaccard((ha, wa), (hb, wb)))
         yield {"a": batch.column("a"), "b": batch.column("b"), "similarity": found}
 
     # The pair side may repeat a node very often; Spark splits such partitions of a sort-merge join.
@@ -230,19 +261,19 @@ def near_duplicate_classes(docs: DataFrame, workspace: Workspace) -> DataFrame:
     nodes = workspace.table(
         signed.groupBy("node").agg(
             F.min("doc_id").alias("rep"),
+            F.first("rarity").alias("rarity"),
             F.first("buckets").alias("buckets"),
-            F.first("samples").alias("samples"),
         ),
         "nodes",
     )
-    members = nodes.select("node", F.explode("buckets").alias("bucket"))
+    members = nodes.select("node", "rarity", F.explode("buckets").alias("bucket"))
     buckets = (
         members.groupBy("bucket")
-        .agg(F.min(F.hex("node")).alias("pivot"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("rarity", "node")).alias("pivot"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("bucket", F.unhex("pivot").alias("pivot"))
+        .select("bucket", F.col("pivot.node").alias("pivot"))
     )
-    members = workspace.table(members.join(buckets, "bucket"), "members")
+    members = workspace.table(members.drop("rarity").join(buckets, "bucket"), "members")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     one_text = (texts["node"] == wanted["node"]) & texts["doc_id"].eqNullSafe(wanted["rep"])
@@ -250,12 +281,17 @@ def near_duplicate_classes(docs: DataFrame, workspace: Workspace) -> DataFrame:
     vectors = workspace.table(vectors.dropDuplicates(["node"]), "vectors")
 
     pairs = members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    first = workspace.table(_compare(pairs.distinct(), vectors), "first")
+    with small_batches(workspace.spark, PAIRS_PER_BATCH):
+        first = workspace.table(_compare(pairs.distinct(), vectors), "first")
     links = first.filter(F.col("similarity") >= THRESHOLD).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(links, workspace)
 
-    open_pairs = _open_pairs(members, first, found, nodes)
-    more = workspace.table(_compare(open_pairs, vectors), "more")
+    placed = workspace.table(_open_members(members, first, found), "open-members")
+    still_open = vectors.join(placed.select("node").distinct(), "node", "left_semi")
+    samples = workspace.table(_estimates(still_open), "estimates")
+    open_pairs = _open_pairs(placed, samples.join(nodes.select("node", "buckets"), "node"))
+    with small_batches(workspace.spark, PAIRS_PER_BATCH):
+        more = workspace.table(_compare(open_pairs, vectors), "more")
     links = links.union(more.filter(F.col("similarity") >= THRESHOLD).select("a", "b"))
     found = workspace.table(components(links, workspace), "components")
 
@@ -267,20 +303,16 @@ def near_duplicate_classes(docs: DataFrame, workspace: Workspace) -> DataFrame:
     return signed.select("doc_id", "node").join(by_node, "node")
 
 
-def _open_pairs(members: DataFrame, first: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket, are in different components, and may yet be linked."""
+def _open_members(members: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, node, component, major, distance) of nodes in buckets with several components, without the
+    pivots; major is the component with most of the bucket's nodes."""
     distance = first.select(
         F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("distance")
     )
     placed = (
         members.join(distance, ["node", "pivot"], "left")
         .join(found, "node", "left")
-        .withColumns(
-            {
-                "distance": F.coalesce("distance", F.lit(0.0)),
-                "component": F.coalesce("component", "node"),
-            }
-        )
+        .withColumn("component", F.coalesce("component", "node"))
     )
     sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
@@ -289,16 +321,29 @@ def _open_pairs(members: DataFrame, first: DataFrame, found: DataFrame, nodes: D
         .filter("parts > 1")
         .select("bucket", "major")
     )
-    placed = placed.join(mixed, "bucket").join(nodes.select("node", "samples"), "node")
-    placed = placed.filter("node != pivot").select("bucket", "node", "component", "major", "distance", "samples")
-    left = placed.select("bucket", *[F.col(c).alias(f"l_{c}") for c in placed.columns[1:]])
+    return (
+        placed.join(mixed, "bucket")
+        .filter("node != pivot")
+        .select("bucket", "node", "component", "major", "distance")
+    )
+
+
+def _open_pairs(placed: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a bucket, are in different components, and may yet be linked.
+
+    ``known`` is (node, samples, buckets).  A pair is met in the least bucket it shares; if one of its
+    nodes is the pivot there, it has been compared already.
+    """
+    placed = placed.join(known, "node")
+    left = placed.select("bucket", *[F.col(c).alias(f"l_{c}") for c in placed.columns if c != "bucket"])
     right = placed.filter("component != major").select(
-        "bucket", *[F.col(c).alias(f"r_{c}") for c in placed.columns[1:]]
+        "bucket", *[F.col(c).alias(f"r_{c}") for c in placed.columns if c != "bucket"]
     )
     may_link = (
         (F.col("l_component") != F.col("r_component"))
         & ((F.col("l_component") == F.col("l_major")) | (F.col("l_node") < F.col("r_node")))
         & (F.abs(F.col("l_distance") - F.col("r_distance")) <= 1 - THRESHOLD + 1e-6)
+        & (F.array_min(F.array_intersect("l_buckets", "r_buckets")) == F.col("bucket"))
         & (_agreeing("l_samples", "r_samples") >= MIN_AGREEING)
     )
     return (

@@ -20,9 +20,11 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Pieces kept per process; a longer piece than MAX_KEPT characters is not kept.
-MAX_PIECES = 600_000
+MAX_PIECES = 700_000
 MAX_KEPT = 40
 MAX_PAIRS = 400_000
+#: Whole texts kept per process, for copies that follow each other; a longer text than this is not kept.
+MAX_TEXTS, MAX_TEXT_KEPT = 3_000, 20_000
 
 #: Code points that the Unicode property White_Space holds.  Fixed values.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680]
@@ -56,8 +58,9 @@ def patterns() -> tuple[re.Pattern, re.Pattern]:
     kinds = {k: _ranges([c for c in sure if unicodedata.category(chr(c))[0] == k]) for k in "LN"}
     space = _ranges(WHITE_SPACE)
     letters, numbers = kinds["L"], kinds["N"]
+    # Letters first: most pieces are words, and none of the contractions starts like one.
     cut = re.compile(
-        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+"
+        f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+"
         f"|[{space}]+(?![^{space}])|[{space}]+"
     )
     return cut, re.compile(f"[^{_ranges(sure)}]")
@@ -72,14 +75,28 @@ class Encoder:
         self.library.no_truncation()
         self.cut, self.unsure = patterns()
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.added = added
         self.mark = added[0] if added else None
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
+        for token, i in vocab.items():
+            self.sizes[i] = len(token)
         self.known: dict[str, bytes] = {}
+        self.texts: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bool:
-        return not (self.unsure.search(text) or self.added.search(text))
+        return not (any(token in text for token in self.added) or self.unsure.search(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        fresh = [t for t in dict.fromkeys(texts) if t not in self.texts]
+        ids = dict(zip(fresh, self._encode(fresh), strict=True))
+        out = [ids[t] if t in ids else self.texts[t] for t in texts]
+        if len(self.texts) + len(ids) > MAX_TEXTS:
+            self.texts = {}
+        self.texts.update((t, i) for t, i in ids.items() if len(t) <= MAX_TEXT_KEPT)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self.cut.findall(t) if self.plain(t) else None for t in texts]
         known = self.known
         fresh = set(chain.from_iterable(p for p in pieces if p)).difference(known)
@@ -87,8 +104,11 @@ class Encoder:
             self.known = known = {}
             fresh = set(chain.from_iterable(p for p in pieces if p))
         fresh = list(fresh)
-        for at in range(0, len(fresh), 1024):
-            known.update(zip(fresh[at : at + 1024], self._apart(fresh[at : at + 1024]), strict=True))
+        words = [p for p in fresh if p[0] == " " and p[1:2].isalpha()]
+        others = [p for p in fresh if not (p[0] == " " and p[1:2].isalpha())]
+        for some, encode in ((words, self._words), (others, self._apart)):
+            for at in range(0, len(some), 1024):
+                known.update(zip(some[at : at + 1024], encode(some[at : at + 1024]), strict=True))
         hard = [t for t, p in zip(texts, pieces, strict=True) if p is None]
         rest = iter(self.library.encode_batch_fast(hard, add_special_tokens=False) if hard else ())
         ids = [
@@ -98,6 +118,20 @@ class Encoder:
             del known[piece]
         return ids
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word that a space begins: the library cuts their joined text before each space, so
+        the bytes of the tokens tell where one word's ids end."""
+        joined = self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)
+        ids = np.array(joined[0].ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        want = np.cumsum([len(w.encode()) for w in words])
+        cuts = np.searchsorted(ends, want)
+        if not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], want):
+            return self._apart(words)
+        cuts = (4 * cuts + 4).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
     def _apart(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece; one call for all, with an added token between them where there is one."""
         if self.mark is None:

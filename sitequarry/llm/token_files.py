@@ -1,6 +1,6 @@
 """Token files: each shard of documents as one wavelet matrix in one compressed byte string.
 
-Documents are range partitioned by doc_id; every task writes its tokens in shards of about SHARD_TOKENS.
+Documents are dealt to ranges of doc_id, one task each; every task writes its tokens in shards of about SHARD_TOKENS.
 A file holds the shard's alphabet by falling frequency, the bit-planes of the ranks in that alphabet, and the
 lengths of its documents.  Frequent tokens have small ranks, so high planes are nearly empty; a block of
 a plane is deflated where that makes it smaller.  Files are rows of a Parquet table in shared storage, written
@@ -36,10 +36,10 @@ def write_file(ids: np.ndarray, lengths: list[int]) -> bytes:
     """One file of tokens and of how many each document has."""
     counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     alphabet = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].astype("<u4")
-    place = np.zeros(len(counts), np.uint32)
-    place[alphabet] = np.arange(len(alphabet))
     n_planes = max(len(alphabet) - 1, 0).bit_length()
-    ranks = place[ids].astype(np.uint16 if n_planes <= 16 else np.uint32)
+    place = np.zeros(len(counts), np.uint16 if n_planes <= 16 else np.uint32)
+    place[alphabet] = np.arange(len(alphabet))
+    ranks = place[ids]
     parts = [zlib.compress(alphabet.tobytes(), 1), zlib.compress(np.array(lengths, "<u4").tobytes(), 1)]
     for plane in WaveletMatrix.of(ranks, n_planes).planes:
         parts.append(_pack_plane(plane))
@@ -56,7 +56,7 @@ def _pack_plane(plane: BitPlane) -> bytes:
     for i, block in enumerate(blocks):
         # Deflating pays where one bit value is rare.
         share = ones[i] / (8 * len(block))
-        if not 0.2 < share < 0.8 and len(small := zlib.compress(block, 1)) < len(block):
+        if not 0.12 < share < 0.88 and len(small := zlib.compress(block, 1)) < len(block):
             blocks[i] = small
     sizes = np.array([len(b) for b in blocks], "<u2").tobytes()
     return b"".join([struct.pack("<I", len(blocks)), sizes, *blocks])
@@ -161,12 +161,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
         if held:
             yield flush()
 
+    # Quantiles read doc_id alone; the text is scanned once.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / n for i in range(1, n)]
+    bounds = sorted(set(docs.approxQuantile("doc_id", shares, 0.25 / n))) if shares else []
+    below = F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x < F.col("doc_id"))
     ordered = (
         docs.select("doc_id", "text")
-        .withColumn("_tie", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "_tie")
-        .sortWithinPartitions("doc_id", "_tie")
-        .select("doc_id", "text")
+        .repartitionById(n, F.size(below))
+        .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
     map_partitions(ordered, write, FILES).write.parquet(path)
 
@@ -193,7 +196,7 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
         for row in range(batch.num_rows):
             file = TokenFile(batch.column("file")[row].as_py())
             ends = np.cumsum(file.lengths)
-            data = file.tokens().astype("<u4").tobytes()
+            data = memoryview(file.tokens().astype("<u4", copy=False)).cast("B")
             spans = list(zip((ends - file.lengths).tolist(), ends.tolist(), strict=True))
             found = {
                 "part": np.repeat(batch.column("part")[row].as_py(), len(ends)),

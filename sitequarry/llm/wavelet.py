@@ -53,11 +53,13 @@ class WaveletMatrix:
     def of(cls, values: np.ndarray, n_planes: int) -> WaveletMatrix:
         planes = []
         for shift in range(n_planes - 1, -1, -1):
-            bits = ((values >> values.dtype.type(shift)) & values.dtype.type(1)).view(np.uint8)
-            bits = bits[:: values.dtype.itemsize] if values.dtype.itemsize > 1 else bits
-            bits = np.ascontiguousarray(bits).view(bool)
-            planes.append(BitPlane(np.packbits(bits, bitorder="little"), len(values)))
-            values = np.concatenate([values[np.flatnonzero(~bits)], values[np.flatnonzero(bits)]])
+            bits = (values & values.dtype.type(1 << shift)) != 0
+            plane = BitPlane(np.packbits(bits, bitorder="little"), len(values))
+            planes.append(plane)
+            below = np.empty_like(values)
+            values.take(np.flatnonzero(~bits), out=below[: plane.zeros], mode="clip")
+            values.take(np.flatnonzero(bits), out=below[plane.zeros :], mode="clip")
+            values = below
         return cls(planes, len(values))
 
     def values(self, dtype=np.uint32) -> np.ndarray:

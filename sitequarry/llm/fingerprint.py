@@ -165,7 +165,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     dealt = (
         keyed.withColumn("ends", F.lit(False))
         .unionByName(ends)
-        .repartition(n_ranges, "range")
+        .repartitionById(n_ranges, F.col("range"))
         .sortWithinPartitions("range", "ends", F.desc("key"), F.desc("tie"))
         .select("doc_id", "text", "range", "ends")
     )

@@ -9,7 +9,8 @@ past it: backward search gives the matching statistics, and windows that match t
 An anchor with more than HOT_SEGMENTS different segments is split: its windows are counted by their
 whole content instead.
 
-Words are compared by 64-bit hashes, so two windows are confused only if words at the same places have
+Segments travel as text with single spaces, which is half the size of hashes once compressed.  Within a shard
+words are told apart by 64-bit hashes, so two windows are confused only if words at the same places have
 equal hashes.
 
 Defined cases: a null text has no words; texts shorter than a window stay; rows that repeat a doc_id and
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.llm.batches import (
+    SPACES,
     map_batches,
     map_partitions,
     rows_of,
@@ -47,7 +49,12 @@ ANCHOR = 8
 #: Words of distinct segments that one shard's index is built over.
 SHARD_WORDS = 500_000
 HOT_SEGMENTS = 2_000
+#: About what a word and a space take up; it only decides how many shards there are.
+WORD_BYTES = 6
+#: Digests a task remembers to give equal segments' words once.
+SEEN_SEGMENTS = 500_000
 _KEY = ["doc", "version"]
+_ONE_SPACE = bytes(0x20 if SPACES[b] else b for b in range(256))
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -94,31 +101,54 @@ def find_anchors(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, size: int) -> DataFrame:
-    """The words (as hashes) of the segments that ``docs`` lists in ``segments``."""
+    """The segments that ``docs`` lists in ``segments``; a task gives the words (as text with single
+    spaces) of equal segments once, and null for the others."""
+    kind = pa.schema(
+        [
+            ("anchor", pa.int64()),
+            ("digest", pa.binary()),
+            ("doc", pa.int64()),
+            ("version", pa.int32()),
+            ("start", pa.int32()),
+            ("words", pa.binary()),
+        ]
+    )
 
-    def cut(batch: pa.RecordBatch):
-        for part in slices(batch):
-            words, bounds = _words(part.column("text"))
-            rows, anchors, starts, texts = [], [], [], []
-            for row, segments in enumerate(part.column("segments").to_pylist()):
-                for s in segments:
-                    first = int(bounds[row]) + s["start"]
-                    rows.append(row)
-                    anchors.append(s["anchor"])
-                    starts.append(s["start"])
-                    texts.append(words[first : first + s["windows"] + size - 1].tobytes())
-            at = pa.array(rows, pa.int64())
-            yield {
-                "anchor": anchors,
-                "digest": [hashlib.blake2b(t, digest_size=16).digest() for t in texts],
-                "doc": part.column("doc").take(at),
-                "version": part.column("version").take(at),
-                "start": starts,
-                "words": texts,
-            }
+    def cut(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in slices(batch):
+                data, offsets = utf8(part.column("text"))
+                begins, ends, bounds = word_spans(data, offsets)
+                wide = np.concatenate([[0], np.cumsum(begins[1:] - ends[:-1] != 1)])
+                rows, anchors, starts, digests, texts = [], [], [], [], []
+                for row, segments in enumerate(part.column("segments").to_pylist()):
+                    for s in segments:
+                        first = int(bounds[row]) + s["start"]
+                        last = first + s["windows"] + size - 2
+                        text = data[begins[first] : ends[last]].tobytes().translate(_ONE_SPACE)
+                        if wide[last] > wide[first]:
+                            text = b" ".join(text.split())
+                        digest = hashlib.blake2b(text, digest_size=16).digest()
+                        rows.append(row)
+                        anchors.append(s["anchor"])
+                        starts.append(s["start"])
+                        digests.append(digest)
+                        texts.append(None if digest in seen else text)
+                        seen.add(digest)
+                if len(seen) > SEEN_SEGMENTS:
+                    seen = set()
+                at = pa.array(rows, pa.int64())
+                columns = [anchors, digests, part.column("doc").take(at), part.column("version").take(at)]
+                columns += [starts, texts]
+                arrays = [
+                    c if isinstance(c, pa.Array) else pa.array(c, f.type)
+                    for c, f in zip(columns, kind, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, schema=kind)
 
     kinds = "anchor bigint, digest binary, doc bigint, version int, start int, words binary"
-    return map_batches(docs, cut, kinds)
+    return map_partitions(docs, cut, kinds)
 
 
 def _split_windows(segments: DataFrame, size: int) -> DataFrame:
@@ -129,8 +159,9 @@ def _split_windows(segments: DataFrame, size: int) -> DataFrame:
             part = batch.slice(at, 1024)
             rows, digests, offsets = [], [], []
             for row, words in enumerate(part.column("words").to_pylist()):
-                for i in range(len(words) // 8 - size + 1):
-                    window = words[8 * i : 8 * (i + size)]
+                words = words.split(b" ")
+                for i in range(len(words) - size + 1):
+                    window = b" ".join(words[i : i + size])
                     rows.append(row)
                     offsets.append(i)
                     digests.append(hashlib.blake2b(window, digest_size=16).digest())
@@ -189,7 +220,10 @@ def _match(segments: DataFrame, n_shards: int, size: int) -> DataFrame:
         held, words, last = [], 0, None
 
         def shard():
-            texts = [np.frombuffer(w, np.uint64) for _, _, w, _ in held]
+            data, offsets = utf8(pa.array([w for _, _, w, _ in held], pa.large_binary()))
+            starts, ends, bounds = word_spans(data, offsets)
+            hashes = word_hashes(data, starts, ends)
+            texts = [hashes[a:b] for a, b in pairwise(bounds.tolist())]
             spans = repeated_spans(texts, np.array([n for *_, n in held]), size)
             found = [(a, d, s) for (a, d, *_), s in zip(held, spans, strict=True) if s]
             columns = list(zip(*found, strict=True)) or [[], [], []]
@@ -203,7 +237,7 @@ def _match(segments: DataFrame, n_shards: int, size: int) -> DataFrame:
                     yield shard()
                     held, words = [], 0
                 held.append(row)
-                words += len(row[2]) // 8
+                words += row[2].count(b" ") + 1
                 last = row[0]
         if held:
             yield shard()
@@ -221,8 +255,10 @@ def find_repeats(docs: DataFrame, workspace: Workspace, size: int = WINDOW) -> D
         {"doc": F.coalesce("doc_id", F.xxhash64("text")), "version": F.hash("text", "doc_id")}
     )
     texts = keyed.select(*_KEY, "text")
-    anchors = workspace.table(find_anchors(texts, size), "anchors")
+    anchors = workspace.table(find_anchors(texts, size), "anchors", "zstd")
+    # Written, so that both sides of the join are plain exchanges and a frequent anchor can be split.
     repeated = anchors.groupBy("anchor").count().filter("count > 1").select("anchor")
+    repeated = workspace.table(repeated, "repeated")
     wanted = (
         anchors.join(repeated, "anchor")
         .groupBy(*_KEY)
@@ -230,12 +266,13 @@ def find_repeats(docs: DataFrame, workspace: Workspace, size: int = WINDOW) -> D
     )
     # Rows alike in doc_id and text list the same segments twice over; each row yields them once.
     wanted = wanted.withColumn("segments", F.array_distinct("segments"))
-    segments = workspace.table(_segments(texts.join(wanted, _KEY), size), "segments")
+    segments = workspace.table(_segments(texts.join(wanted, _KEY), size), "segments", "zstd")
     distinct = workspace.table(
         segments.groupBy("anchor", "digest").agg(
-            F.first("words").alias("words"), F.count(F.lit(1)).alias("n")
+            F.first("words", ignorenulls=True).alias("words"), F.count(F.lit(1)).alias("n")
         ),
         "distinct",
+        "zstd",
     )
     hot = distinct.groupBy("anchor").count().filter(F.col("count") > HOT_SEGMENTS).select("anchor")
     hot = workspace.table(hot, "hot")
@@ -247,7 +284,7 @@ def find_repeats(docs: DataFrame, workspace: Workspace, size: int = WINDOW) -> D
         .agg(F.flatten(F.collect_list(F.array("offset", F.col("offset") + size))).alias("spans"))
     )
     calm = distinct.join(hot, "anchor", "left_anti")
-    n_words = calm.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    n_words = (calm.agg(F.sum(F.octet_length("words"))).first()[0] or 0) / WORD_BYTES
     n_shards = max(math.ceil(n_words / SHARD_WORDS), int(workspace.spark.sparkContext.defaultParallelism))
     matched = workspace.table(_match(calm, n_shards, size), "matched")
     hits = (

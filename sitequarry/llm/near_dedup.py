@@ -8,8 +8,9 @@
    Jaccard similarity; links of THRESHOLD or more give components.  The pivot is the node whose shingles are the
    most frequent on average: among copies with edits, the one with the fewest.
 4. Where a bucket still has several components, nodes of different ones are compared too, unless their distances
-   to the pivot differ by more than a link allows (the distance is a metric), or fewer than MIN_AGREEING of
-   ESTIMATORS further samples agree.  The cost follows the pairs that are still open, not the square of a group.
+   to the pivot differ by more than a link allows (the distance is a metric), or their weights do: two texts
+   have in common at most the sum of the smaller of their weights in each of BOUND_CELLS hashed cells.  Both
+   bounds are exact, so no link of a bucket is lost.
 5. Components of all links are the classes.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z in lower case; a text of fewer than five
@@ -46,9 +47,8 @@ from sitequarry.operators.lineage import Workspace
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
-#: Each sample of a link agrees with chance 0.8 or more; fewer than MIN_AGREEING of ESTIMATORS (four standard
-#: deviations below that) happens to three links in 100,000, a small part of what the bands may miss.
-ESTIMATORS, MIN_AGREEING = 512, 373
+#: Weight sums a node travels with, as 16-bit multiples of its own unit, rounded up.
+BOUND_CELLS, UNITS = 512, 32000
 IDF_SHARE = 0.1
 DF_BITS = 18
 #: A pair carries two vectors, so few of them go to Python at once.
@@ -141,12 +141,6 @@ def sampler() -> Sampler:
     return Sampler(BANDS * ROWS, 7, 15)
 
 
-@lru_cache(maxsize=1)
-def estimator() -> Sampler:
-    """The process's sampler for estimates."""
-    return Sampler(ESTIMATORS, 11, 12)
-
-
 def _weights(hashes: np.ndarray, tf: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (1 + np.log(tf.astype(np.float32))) * factors[cells(hashes)]
 
@@ -186,19 +180,29 @@ def _sign(texts: DataFrame, factors) -> DataFrame:
     return map_batches(texts, sign, kinds)
 
 
-def _estimates(vectors: DataFrame) -> DataFrame:
-    """(node, samples) of ``vectors``."""
+def cell_sums(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Total weight of each set, its unit, and its weight in each cell in units, rounded up; every set has an
+    element."""
+    n = len(bounds) - 1
+    at = rows_of(np.arange(len(hashes)), bounds) * BOUND_CELLS
+    at += (hashes >> np.uint64(40)).astype(np.int64) % BOUND_CELLS
+    sums = np.bincount(at, weights, n * BOUND_CELLS).reshape(n, BOUND_CELLS)
+    units = sums.max(axis=1) / UNITS
+    return sums.sum(axis=1), units, np.ceil(sums / units[:, None]).astype(np.int16)
+
+
+def _sums(vectors: DataFrame) -> DataFrame:
+    """(node, total, unit, sums) of ``vectors``."""
 
-    def estimate(batch: pa.RecordBatch):
+    def add(batch: pa.RecordBatch):
         for part in slices(batch, "hashes"):
             hashes = [np.frombuffer(h.as_py(), np.uint64) for h in part.column("hashes")]
             weights = [np.frombuffer(w.as_py(), "<f4") for w in part.column("weights")]
             bounds = np.cumsum([0, *map(len, hashes)])
-            found = estimator().samples(np.concatenate(hashes), np.concatenate(weights), bounds)
-            short = (found & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
-            yield {"node": part.column("node"), "samples": list(short)}
+            total, unit, sums = cell_sums(np.concatenate(hashes), np.concatenate(weights), bounds)
+            yield {"node": part.column("node"), "total": total, "unit": unit, "sums": list(sums)}
 
-    return map_batches(vectors, estimate, "node binary, samples array<smallint>")
+    return map_batches(vectors, add, "node binary, total double, unit double, sums array<smallint>")
 
 
 def _vectors(texts: DataFrame, factors) -> DataFrame:
@@ -246,10 +250,11 @@ def _compare(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """How many samples of two nodes are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0))
-    return F.aggregate(same, F.lit(0), lambda total, x: total + x)
+def _most_in_common(a: str, b: str) -> Column:
+    """The most weight that two nodes can have in common."""
+    unit_a, unit_b = F.col(f"{a}_unit"), F.col(f"{b}_unit")
+    smaller = F.zip_with(f"{a}_sums", f"{b}_sums", lambda x, y: F.least(x * unit_a, y * unit_b))
+    return F.aggregate(smaller, F.lit(0.0), lambda total, x: total + x)
 
 
 def near_duplicate_classes(docs: DataFrame, workspace: Workspace) -> DataFrame:
@@ -288,8 +293,8 @@ def near_duplicate_classes(docs: DataFrame, workspace: Workspace) -> DataFrame:
 
     placed = workspace.table(_open_members(members, first, found), "open-members")
     still_open = vectors.join(placed.select("node").distinct(), "node", "left_semi")
-    samples = workspace.table(_estimates(still_open), "estimates")
-    open_pairs = _open_pairs(placed, samples.join(nodes.select("node", "buckets"), "node"))
+    sums = workspace.table(_sums(still_open), "sums")
+    open_pairs = _open_pairs(placed, sums.join(nodes.select("node", "buckets"), "node"))
     with small_batches(workspace.spark, PAIRS_PER_BATCH):
         more = workspace.table(_compare(open_pairs, vectors), "more")
     links = links.union(more.filter(F.col("similarity") >= THRESHOLD).select("a", "b"))
@@ -331,7 +336,7 @@ def _open_members(members: DataFrame, first: DataFrame, found: DataFrame) -> Dat
 def _open_pairs(placed: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of nodes that share a bucket, are in different components, and may yet be linked.
 
-    ``known`` is (node, samples, buckets).  A pair is met in the least bucket it shares; if one of its
+    ``known`` is (node, total, unit, sums, buckets).  A pair is met in the least bucket it shares; if one of its
     nodes is the pivot there, it has been compared already.
     """
     placed = placed.join(known, "node")
@@ -339,12 +344,15 @@ def _open_pairs(placed: DataFrame, known: DataFrame) -> DataFrame:
     right = placed.filter("component != major").select(
         "bucket", *[F.col(c).alias(f"r_{c}") for c in placed.columns if c != "bucket"]
     )
+    # A similarity of THRESHOLD takes so much in common; the factor is for rounding.
+    needed = (F.col("l_total") + F.col("r_total")) * (THRESHOLD / (1 + THRESHOLD) * (1 - 1e-6))
     may_link = (
         (F.col("l_component") != F.col("r_component"))
         & ((F.col("l_component") == F.col("l_major")) | (F.col("l_node") < F.col("r_node")))
         & (F.abs(F.col("l_distance") - F.col("r_distance")) <= 1 - THRESHOLD + 1e-6)
+        & (F.least("l_total", "r_total") >= needed)
         & (F.array_min(F.array_intersect("l_buckets", "r_buckets")) == F.col("bucket"))
-        & (_agreeing("l_samples", "r_samples") >= MIN_AGREEING)
+        & (_most_in_common("l", "r") >= needed)
     )
     return (
         left.join(right, "bucket")

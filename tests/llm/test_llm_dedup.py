@@ -309,6 +309,38 @@ def test_chain_of_near_copies_is_one_class(spark, workspace):
     assert set(got.values()) == {0}
 
 
+def test_long_open_pair_with_repeats_is_compared(spark, workspace, monkeypatch):
+    """In one bucket whose pivot is like neither, a long text and the same text with passages said three times."""
+    sign = near_dedup._sign
+    one = F.array(F.lit(1).cast("long"))
+    monkeypatch.setattr(near_dedup, "_sign", lambda *a: sign(*a).withColumn("buckets", one))
+    words = [f"w{i}" for i in range(15_000)]
+    rows = [(0, " ".join(words[:10_000])), (1, " ".join(words))]
+    rows.append((2, " ".join(words + [f"p{i}" for i in range(1_580)] * 3)))
+    expected, margin = brute_classes(rows)
+    assert margin > 2e-3
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(documents(spark, rows), workspace).collect()}
+    assert got == {d: c for (d, _), c in expected.items()} == {0: 0, 1: 1, 2: 1}
+
+
+@pytest.mark.parametrize("n", [3, 200, 20_000])
+def test_bound_is_never_below_what_two_texts_have_in_common(n):
+    rng = np.random.default_rng(n)
+    hashes = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+    for share in (0.1, 0.7, 1.0):
+        mine, own = (np.flatnonzero(rng.random(n) < share) for _ in range(2))
+        mine, own = np.append(mine, n - 1), np.append(own, n - 1)
+        wa, wb = (rng.integers(1, 11, len(x)).astype(np.float32) for x in (mine, own))
+        bounds = np.array([0, len(mine), len(mine) + len(own)])
+        total, unit, sums = near_dedup.cell_sums(
+            hashes[np.concatenate([mine, own])], np.concatenate([wa, wb]), bounds
+        )
+        assert total.tolist() == [wa.sum(), wb.sum()]
+        _, i, j = np.intersect1d(mine, own, return_indices=True)
+        common = np.minimum(wa[i], wb[j]).sum()
+        assert np.minimum(sums[0] * unit[0], sums[1] * unit[1]).sum() >= common * (1 - 1e-9)
+
+
 def test_components_of_paths_stars_and_cycles(spark, workspace):
     rng = np.random.default_rng(4)
     links = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(50)] + [(200, 201), (201, 202), (202, 200)]

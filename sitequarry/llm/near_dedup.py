@@ -107,15 +107,29 @@ class Sampler:
     """Improved consistent weighted sampling: sample j of a weighted set is the pair (k, t) of an element and
     a level that two sets share with a chance equal to their weighted Jaccard similarity."""
 
-    def __init__(self, n: int, seed: int, table_bits: int):
+    def __init__(self, n: int, seed: int, uniform_bits: int):
         rng = np.random.default_rng(seed)
-        self.shift = np.uint64(64 - table_bits)
-        shape = (n, 1 << table_bits)
-        self.keys = rng.integers(0, 2**63, shape[0], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        # An element's random numbers are drawn from tables by its hash.
-        self.r = rng.gamma(2, 1, shape).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2, 1, shape)).astype(np.float32)
-        self.beta = rng.random(shape, dtype=np.float32)
+        self.drop = np.uint32(32 - uniform_bits)
+        self.step = np.float32(2.0**-uniform_bits)
+        self.keys = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def _uniform(self, bits: np.ndarray) -> np.ndarray:
+        """Numbers between 0 and 1, without the ends, from the upper ones of 32 bits."""
+        return ((bits >> self.drop).view(np.int32).astype(np.float32) + np.float32(0.5)) * self.step
+
+    def _numbers(self, hashes: np.ndarray, key: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each element's own r and c, of gamma distributions with shape 2, and uniform beta, from its hash."""
+        x = hashes * key
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        y = x * np.uint64(0x94D049BB133111EB)
+        y ^= y >> np.uint64(32)
+        z = y * np.uint64(0x9E3779B97F4A7C15)
+        x, y, z = x.view(np.uint32), y.view(np.uint32), z.view(np.uint32)
+        r = -np.log(self._uniform(x[0::2]) * self._uniform(x[1::2]))
+        c = -np.log(self._uniform(y[0::2]) * self._uniform(y[1::2]))
+        return r, c, self._uniform(z[1::2])
 
     def samples(self, hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """One row of 64-bit samples for each set; every set has an element."""
@@ -124,10 +138,9 @@ class Sampler:
         place = np.arange(len(hashes), dtype=np.int64)
         found = np.empty((len(first), len(self.keys)), np.uint64)
         for j, key in enumerate(self.keys):
-            at = ((hashes * key) >> self.shift).view(np.int64)
-            r, beta = self.r[j].take(at), self.beta[j].take(at)
+            r, c, beta = self._numbers(hashes, key)
             t = np.floor(logs / r + beta)
-            rank = (self.log_c[j].take(at) - r * (t - beta + 1)).view(np.int32).astype(np.int64)
+            rank = (np.log(c) - r * (t - beta + 1)).view(np.int32).astype(np.int64)
             # Floats as integers of the same order, with the element's place below for the minimum to carry.
             rank = ((rank ^ ((rank >> 31) & 0x7FFFFFFF)) << 32) | place
             least = np.minimum.reduceat(rank, first) & 0xFFFFFFFF
@@ -137,8 +150,8 @@ class Sampler:
 
 @lru_cache(maxsize=1)
 def sampler() -> Sampler:
-    """The process's sampler for bands; its tables are the same everywhere."""
-    return Sampler(BANDS * ROWS, 7, 15)
+    """The process's sampler for bands, the same everywhere."""
+    return Sampler(BANDS * ROWS, 7, 23)
 
 
 def _weights(hashes: np.ndarray, tf: np.ndarray, factors: np.ndarray) -> np.ndarray:

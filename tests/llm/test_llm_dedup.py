@@ -363,6 +363,27 @@ def test_sampler_agrees_as_often_as_the_sets_are_alike():
     assert abs((a == b).mean() - similarity) < 0.1
 
 
+@pytest.mark.parametrize("n", [50_000, 200_000])
+def test_band_sampler_agrees_on_large_sets_with_repeats(n):
+    """One set is the other plus a few elements of weight 10; weights from 1 to 10 elsewhere."""
+    rng = np.random.default_rng(n)
+    hashes = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    more = rng.random(n) < 0.05
+    one = np.where(more, np.float32(10), np.float32(1))
+    many = np.where(more, 10, rng.integers(1, 11, n)).astype(np.float32)
+    bands = [near_dedup.sampler(), *(near_dedup.Sampler(100, s, 23) for s in (1, 2, 3))]
+    for weights in (one, many):
+        similarity = weights[~more].sum(dtype=float) / weights.sum(dtype=float)
+        both = np.concatenate([np.flatnonzero(~more), np.arange(n)])
+        bounds = np.array([0, int((~more).sum()), len(both)])
+        agree = []
+        for sampler in bands:
+            a, b = sampler.samples(hashes[both], weights[both], bounds)
+            agree += (a == b).tolist()
+        sd = np.sqrt(similarity * (1 - similarity) / len(agree))
+        assert abs(np.mean(agree) - similarity) < 4 * sd
+
+
 def test_shingles_are_bounded_by_rows():
     hashes, tf, bounds = near_dedup.shingles(pa.array(["a b c d e f", None, "a b", "a b c d e a b c d e"]))
     assert np.diff(bounds).tolist() == [2, 0, 1, 5]

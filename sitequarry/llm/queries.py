@@ -14,6 +14,7 @@ from sitequarry.llm.language_id import train_and_identify
 from sitequarry.llm.line_dedup import dedup_lines
 from sitequarry.llm.near_dedup import near_duplicate_classes
 from sitequarry.llm.packing import pack_documents
+from sitequarry.llm.piece_table import decode_pieces, encode_pieces
 from sitequarry.llm.quality import train_and_score
 from sitequarry.llm.substring_dedup import remove_repeats
 from sitequarry.llm.token_counts import count_tokens
@@ -46,6 +47,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 512
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query()
@@ -220,3 +222,16 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         likeness("fingerprint", "next_fingerprint").alias("near_next"),
     )
+
+
+@query()
+def op11_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text through the prefix table, and the text decoded from them."""
+    encoded = encode_pieces(documents(spark, sf_dir), PIECE_MODEL, "piece_ids")
+    decoded = decode_pieces(encoded, PIECE_MODEL, "piece_ids", "decoded")
+    return decoded.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

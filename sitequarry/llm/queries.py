@@ -15,6 +15,7 @@ from sitequarry.llm.line_dedup import dedup_lines
 from sitequarry.llm.near_dedup import near_duplicate_classes
 from sitequarry.llm.packing import pack_documents
 from sitequarry.llm.piece_table import decode_pieces, encode_pieces
+from sitequarry.llm.prefix_trie import conversation_trie
 from sitequarry.llm.quality import train_and_score
 from sitequarry.llm.substring_dedup import remove_repeats
 from sitequarry.llm.token_counts import count_tokens
@@ -235,3 +236,10 @@ def op11_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with members, leaves and saved bytes."""
+    trie = conversation_trie(table(spark, sf_dir, "conversations"), Workspace(spark))
+    return trie.drop("key")

@@ -21,7 +21,6 @@ a column of ``docs`` with a result's name is replaced by the result.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 
@@ -36,6 +35,10 @@ from sitequarry.llm.batches import map_batches, slices
 SPACE = "▁"
 #: Kinds of pieces in a model file (fixed values of its format): normal pieces are merged, bytes fall back.
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
+#: Pairs whose compatibility a worker keeps; the table starts anew beyond that.
+PAIRS_KEPT = 1 << 21
+#: Distinct chunks whose ids a worker keeps; the table starts anew beyond that.
+CHUNKS_KEPT = 1 << 20
 
 
 class PieceModel:
@@ -64,10 +67,15 @@ class PieceModel:
         self.byte_fallback = bool(proto.trainer_spec.byte_fallback)
         self.is_byte = np.zeros(len(self.pieces), bool)
         self.is_byte[self.byte_ids] = self.byte_fallback
+        self._special = frozenset(np.flatnonzero(self.is_byte).tolist()) | {self.unknown}
         self.automaton = ahocorasick.Automaton()
+        self.whole: dict[str, int] = {}
+        self._pairs: dict[int, bool] = {}
+        self._chunks: dict[str, tuple[int, ...]] = {}
         for piece, i in self.ids.items():
             if self.merge(piece) == [piece]:
                 self.automaton.add_word(piece, (i, len(piece)))
+                self.whole[piece] = i
         self.automaton.make_automaton()
         self.chunked = not any(
             a != SPACE and b == SPACE for piece in self.ids for a, b in zip(piece, piece[1:])
@@ -88,11 +96,16 @@ class PieceModel:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    @functools.lru_cache(maxsize=1 << 20)  # noqa: B019 - one model per worker, kept for its life
     def compatible(self, left: int, right: int) -> bool:
         """Whether the pieces ``left`` and ``right`` stay apart when their joined string is merged."""
-        a, b = self.pieces[left], self.pieces[right]
-        return self.merge(a + b) == [a, b]
+        key = left * len(self.pieces) + right
+        known = self._pairs.get(key)
+        if known is None:
+            if len(self._pairs) >= PAIRS_KEPT:
+                self._pairs.clear()
+            a, b = self.pieces[left], self.pieces[right]
+            known = self._pairs[key] = self.merge(a + b) == [a, b]
+        return known
 
     def normalize(self, text: str) -> str:
         if not text:
@@ -104,23 +117,35 @@ class PieceModel:
     def chunks(self, normalized: str) -> list[str]:
         return self._cut.split(normalized) if self.chunked else [normalized]
 
-    @functools.lru_cache(maxsize=1 << 18)  # noqa: B019
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of one chunk: the last token of every prefix, then the tokens from the end backwards."""
+        whole = self.whole.get(chunk)
+        if whole is not None:  # a reachable piece is its own encoding
+            return (whole,)
         n = len(chunk)
-        last = [-1] * (n + 1)  # piece id ending at each prefix; -1: none yet; -2: a char no piece holds
-        length = [0] * (n + 1)
-        end, found = -1, []
+        last = [-2] * (n + 1)  # piece id ending at each prefix; -2: a character that no piece holds
+        length = [1] * (n + 1)
+        pairs, width = self._pairs, len(self.pieces)
+        settled = seen = -1
         for stop, (piece, size) in self.automaton.iter(chunk):
-            if stop != end:
-                if end >= 0:
-                    self._settle(end + 1, found, last, length)
-                self._unknown_between(end + 1, stop, last, length)
-                end, found = stop, []
-            found.append((piece, size))
-        if end >= 0:
-            self._settle(end + 1, found, last, length)
-        self._unknown_between(end + 1, n, last, length)
+            if stop == settled:
+                continue
+            if stop != seen:
+                if seen != settled:
+                    raise AssertionError(f"no last token at {seen + 1}")  # excluded by the merge rule
+                seen = stop
+            before = stop + 1 - size
+            if before:
+                previous = last[before]
+                if previous >= 0:
+                    fits = pairs.get(previous * width + piece)
+                    if fits is None:
+                        fits = self.compatible(previous, piece)
+                    if not fits:
+                        continue
+            last[stop + 1], length[stop + 1], settled = piece, size, stop
+        if seen != settled:
+            raise AssertionError(f"no last token at {seen + 1}")
         ids: list[int] = []
         at = n
         while at > 0:
@@ -133,48 +158,55 @@ class PieceModel:
         ids.reverse()
         return tuple(ids)
 
-    def _settle(self, prefix: int, found: list, last: list, length: list) -> None:
-        """The one piece among the matches ending at ``prefix`` that is compatible with its predecessor."""
-        for piece, size in sorted(found, key=lambda f: -f[1]):
-            before = prefix - size
-            previous = last[before] if before else None
-            if previous is None or previous == -2 or (previous >= 0 and self.compatible(previous, piece)):
-                last[prefix], length[prefix] = piece, size
-                return
-        raise AssertionError(f"no last token at {prefix}")  # excluded by the merge rule
-
-    @staticmethod
-    def _unknown_between(first: int, stop: int, last: list, length: list) -> None:
-        """Prefixes ending in ``[first, stop)`` end on a character that no piece holds."""
-        for prefix in range(first + 1, stop + 1):
-            last[prefix], length[prefix] = -2, 1
-
     def _fallback(self, char: str) -> list[int]:
         if self.byte_fallback:
             return [int(self.byte_ids[b]) for b in char.encode("utf-8")]
         return [self.unknown]
 
     def encode(self, text: str | None) -> list[int]:
+        """Ids of a text, chunk by chunk; a worker keeps the ids of up to CHUNKS_KEPT distinct chunks."""
         ids: list[int] = []
-        for chunk in self.chunks(self.normalize(text or "")):
-            ids.extend(self.encode_chunk(chunk))
+        self._extend(ids, text)
         return ids
 
+    def _extend(self, ids: list[int], text: str | None) -> None:
+        known = self._chunks
+        for chunk in self.chunks(self.normalize(text or "")):
+            found = known.get(chunk)
+            if found is None:
+                if len(known) >= CHUNKS_KEPT:
+                    known.clear()
+                found = known[chunk] = self.encode_chunk(chunk)
+            ids += found
+
+    def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts as one flat array and the offsets of each text's ids."""
+        values: list[int] = []
+        offsets = [0]
+        for text in texts:
+            self._extend(values, text)
+            offsets.append(len(values))
+        return np.array(values, np.int32), np.asarray(offsets, np.int32)
+
     def decode(self, ids: list[int] | np.ndarray | None) -> str:
         """Pieces joined; runs of byte pieces as UTF-8 (invalid bytes: U+FFFD); the dummy space dropped."""
-        parts, raw = [], bytearray()
-        for i in ids if ids is not None else ():
-            i = int(i)
-            if self.is_byte[i]:
-                raw.append(int(self.pieces[i][3:5], 16))
-                continue
+        ids = [] if ids is None else [int(i) for i in ids] if isinstance(ids, np.ndarray) else ids
+        if self._special.isdisjoint(ids):
+            text = "".join(map(self.pieces.__getitem__, ids))
+        else:
+            parts, raw = [], bytearray()
+            for i in ids:
+                if self.is_byte[i]:
+                    raw.append(int(self.pieces[i][3:5], 16))
+                    continue
+                if raw:
+                    parts.append(raw.decode("utf-8", "replace"))
+                    raw = bytearray()
+                parts.append(" ⁇ " if i == self.unknown else self.pieces[i])
             if raw:
                 parts.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            parts.append(" ⁇ " if i == self.unknown else self.pieces[i])
-        if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-        text = "".join(parts).replace(SPACE, " ")
+            text = "".join(parts)
+        text = text.replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -195,19 +227,28 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encode_pieces(docs: DataFrame, model_path: str, ids: str = "piece_ids") -> DataFrame:
-    """``docs`` with ``ids``, the array of piece ids of ``text``, as the library encodes it."""
+def encode_pieces(
+    docs: DataFrame, model_path: str, ids: str = "piece_ids", decoded: str | None = None
+) -> DataFrame:
+    """``docs`` with ``ids``, the array of piece ids of ``text`` as the library encodes it, and, if named,
+    ``decoded``: the text decoded from those ids in the same pass."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    names = [n for n in docs.columns if n != ids]
+    results = {ids: "array<int>"} | ({decoded: "string"} if decoded else {})
+    names = [n for n in docs.columns if n not in results]
 
     def encode(batch: pa.RecordBatch):
         coder = piece_model(model.value)
         for part in slices(batch):
-            encoded = [coder.encode(t) for t in part.column("text").to_pylist()]
-            yield {n: part.column(n) for n in names} | {ids: encoded}
-
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields if f.name != ids}
-    kinds[ids] = "array<int>"
+            flat, offsets = coder.encode_many(part.column("text").to_pylist())
+            found = {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
+            if decoded:
+                found[decoded] = [
+                    coder.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)
+                ]
+            yield {n: part.column(n) for n in names} | found
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields if f.name not in results}
+    kinds |= results
     return map_batches(docs, encode, ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
 
 
@@ -218,11 +259,24 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "piece_ids", text:
 
     def decode(batch: pa.RecordBatch):
         coder = piece_model(model.value)
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
+        for part in id_slices(batch, ids):
             decoded = [coder.decode(i) for i in part.column(ids).to_pylist()]
             yield {n: part.column(n) for n in names} | {text: decoded}
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name != text}
     kinds[text] = "string"
     return map_batches(df, decode, ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
+
+
+def id_slices(batch: pa.RecordBatch, ids: str, most: int = 1 << 18):
+    """The batch in pieces of about ``most`` ids; a longer row is a piece of its own."""
+    column = batch.column(ids)
+    lengths = np.asarray(column.value_lengths().fill_null(0), np.int64) if len(column) else np.zeros(0)
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = int(np.searchsorted(ends, before + most, side="right"))
+        stop = min(max(stop, start + 1), batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -14,9 +14,10 @@ from sitequarry.llm.language_id import train_and_identify
 from sitequarry.llm.line_dedup import dedup_lines
 from sitequarry.llm.near_dedup import near_duplicate_classes
 from sitequarry.llm.packing import pack_documents
-from sitequarry.llm.piece_table import decode_pieces, encode_pieces
+from sitequarry.llm.piece_table import encode_pieces
 from sitequarry.llm.prefix_trie import conversation_trie
 from sitequarry.llm.quality import train_and_score
+from sitequarry.llm.spelling import spelling_forms
 from sitequarry.llm.substring_dedup import remove_repeats
 from sitequarry.llm.token_counts import count_tokens
 from sitequarry.llm.token_files import read_tokens, write_tokens
@@ -228,8 +229,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text through the prefix table, and the text decoded from them."""
-    encoded = encode_pieces(documents(spark, sf_dir), PIECE_MODEL, "piece_ids")
-    decoded = decode_pieces(encoded, PIECE_MODEL, "piece_ids", "decoded")
+    decoded = encode_pieces(documents(spark, sf_dir), PIECE_MODEL, "piece_ids", "decoded")
     return decoded.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_tokens"),
@@ -243,3 +243,9 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations, with members, leaves and saved bytes."""
     trie = conversation_trie(table(spark, sf_dir, "conversations"), Workspace(spark))
     return trie.drop("key")
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven or more letters seen twice, its likelier spelling one edit away, and its root."""
+    return spelling_forms(documents(spark, sf_dir), Workspace(spark))

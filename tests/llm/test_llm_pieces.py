@@ -108,3 +108,10 @@ def test_query_digests(spark, library):
         assert row["n_tokens"] == len(ids)
         assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_decoded_in_the_same_pass(spark, library):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(100, None)]
+    out = encode_pieces(documents(spark, rows), MODEL, "ids", "back").collect()
+    for row in out:
+        assert row["back"] == library.decode(library.encode(row["text"] or ""))

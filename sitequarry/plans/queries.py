@@ -21,6 +21,7 @@ from sitequarry.operators import (
 )
 from sitequarry.operators.lineage import Workspace
 from sitequarry.operators.parse import parse_pages
+from sitequarry.operators.robots_index import robots_indexed as indexed_robots
 from sitequarry.operators.skew import spread_join
 from sitequarry.plans import derived, site_index
 from sitequarry.sources import tables
@@ -426,6 +427,17 @@ def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("page_id", allowed.alias("allowed"))
 
 
+@query
+def robots_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``robots_allowed`` through an index of the rules' literal prefixes: only candidate rules are matched."""
+    directives = robots.robots_directives(derived.host_robots(spark, sf_dir))
+    rules = robots.robots_rules(directives)
+    pages = tables.read_pages(spark, f"{sf_dir}/pages.parquet").select(
+        "page_id", "site", urls.url_path(F.col("url")).alias("path")
+    )
+    return indexed_robots(pages, rules).select("page_id", "allowed")
+
+
 @query
 def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = derived.page_hosts(spark, sf_dir)

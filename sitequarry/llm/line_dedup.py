@@ -6,7 +6,7 @@ document.  Lines of a key are spread over salts, so a line that a third of all d
 
 Defined cases: a null or empty text is one empty line; null doc_ids count as one document after all
 others; rows with the same doc_id are one document; a column of ``docs`` with the name of a result is
-replaced.  ``text`` becomes the kept lines (null stays null).
+replaced; all other columns, whatever their names, come back unchanged.  ``text`` becomes the kept lines (null stays null).
 """
 
 from __future__ import annotations
@@ -105,25 +105,28 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, min_chars: int = 10) -> D
     )
     # At most one row per key and salt on the right, so no group of this join is large.
     first = by_salt.select("key", "salt").join(repeated, "key")
+    # Names of the caller's columns are never reused for helpers, so every column of ``docs`` comes back as it was.
+    taken = set(docs.columns)
+    doc, version, dropped = (_fresh(name, taken) for name in ("doc", "version", "drop"))
     drops = (
         salted.join(first, ["key", "salt"])
         .filter("doc > first")
-        .groupBy("doc", "version")
-        .agg(F.collect_set("line").alias("drop"))
+        .groupBy(F.col("doc").alias(doc), F.col("version").alias(version))
+        .agg(F.collect_set("line").alias(dropped))
     )
-    drop = F.coalesce("drop", F.array().cast("array<int>"))
+    drop = F.coalesce(dropped, F.array().cast("array<int>"))
     row_lines = F.split("text", "\n", -1)
     stays = F.array_except(F.sequence(F.lit(0), F.size(row_lines) - 1), drop)
     kept = F.array_join(F.transform(stays, lambda i: F.get(row_lines, i)), "\n")
     return (
         docs.withColumns(
             {
-                "doc": F.coalesce("doc_id", F.lit(_LAST)),
-                "version": F.xxhash64("text"),
+                doc: F.coalesce("doc_id", F.lit(_LAST)),
+                version: F.xxhash64("text"),
                 "n_lines": F.coalesce(count_lines(F.col("text")), F.lit(1)).cast("long"),
             }
         )
-        .join(drops, ["doc", "version"], "left")
+        .join(drops, [doc, version], "left")
         .withColumns(
             {
                 "n_dropped": F.size(drop).cast("long"),
@@ -132,3 +135,11 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, min_chars: int = 10) -> D
         )
         .select(*docs.columns, *RESULTS)
     )
+
+
+def _fresh(name: str, taken: set[str]) -> str:
+    """``name``, with underscores in front until no column of the caller has it."""
+    while name in taken:
+        name = "_" + name
+    taken.add(name)
+    return name

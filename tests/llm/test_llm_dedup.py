@@ -99,6 +99,22 @@ def test_lines_of_odd_texts(spark, workspace):
     assert dedup_lines(docs.limit(0), workspace).collect() == []
 
 
+def test_lines_keep_columns_named_like_helpers(spark, workspace):
+    same = "A line that is long enough"
+    rows = [(1, f"{same}\nown one"), (2, f"{same}\nown two"), (3, None)]
+    names = ["doc", "version", "drop", "_drop", "line", "key", "salt", "first", "low", "high"]
+    docs = documents(spark, rows)
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string"), F.lit(k)))
+    got = dedup_lines(docs, workspace)
+    assert got.columns == docs.columns + ["n_lines", "n_dropped"]
+    for row in got.collect():
+        for k, name in enumerate(names):
+            assert row[name] == f"{name}-{row['doc_id']}{k}"
+    found = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()]
+    assert sorted(found, key=repr) == sorted(brute_lines(rows), key=repr)
+
+
 def test_line_in_every_document(spark, workspace):
     rows = [(i, f"the very common line\nown line number {i}") for i in range(3000)]
     got = dedup_lines(documents(spark, rows).repartition(7), workspace)

@@ -171,3 +171,11 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 def rows_of(positions: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The row each position belongs to."""
     return np.searchsorted(bounds, positions, side="right") - 1
+
+
+def fresh_name(name: str, taken: set[str]) -> str:
+    """``name``, with underscores in front until no column in ``taken`` has it; the result is added to ``taken``."""
+    while name in taken:
+        name = "_" + name
+    taken.add(name)
+    return name

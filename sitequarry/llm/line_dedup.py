@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitequarry.llm.batches import SPACES, map_batches, mix, rows_of, slices, utf8, word_hashes
+from sitequarry.llm.batches import SPACES, fresh_name, map_batches, mix, rows_of, slices, utf8, word_hashes
 from sitequarry.llm.seen_twice import SeenTwice, log_bits, seen_twice
 from sitequarry.operators.lineage import Workspace
 
@@ -107,7 +107,7 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, min_chars: int = 10) -> D
     first = by_salt.select("key", "salt").join(repeated, "key")
     # Names of the caller's columns are never reused for helpers, so every column of ``docs`` comes back as it was.
     taken = set(docs.columns)
-    doc, version, dropped = (_fresh(name, taken) for name in ("doc", "version", "drop"))
+    doc, version, dropped = (fresh_name(name, taken) for name in ("doc", "version", "drop"))
     drops = (
         salted.join(first, ["key", "salt"])
         .filter("doc > first")
@@ -136,10 +136,3 @@ def dedup_lines(docs: DataFrame, workspace: Workspace, min_chars: int = 10) -> D
         .select(*docs.columns, *RESULTS)
     )
 
-
-def _fresh(name: str, taken: set[str]) -> str:
-    """``name``, with underscores in front until no column of the caller has it."""
-    while name in taken:
-        name = "_" + name
-    taken.add(name)
-    return name

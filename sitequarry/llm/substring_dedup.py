@@ -15,7 +15,7 @@ equal hashes.
 
 Defined cases: a null text has no words; texts shorter than a window stay; rows that repeat a doc_id and
 text are repeats of one another; null doc_ids are told apart by their text; a column of ``docs`` with the name
-of a result is replaced.
+of a result is replaced; all other columns, whatever their names, come back unchanged.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.llm.batches import (
     SPACES,
+    fresh_name,
     map_batches,
     map_partitions,
     rows_of,
@@ -250,11 +251,14 @@ def find_repeats(docs: DataFrame, workspace: Workspace, size: int = WINDOW) -> D
     """``docs`` with removed, the spans of words [start, end, ...] that repeated windows cover."""
     if size < ANCHOR:
         raise ValueError(f"a window has at least {ANCHOR} words")
-    docs = docs.drop("removed", *_KEY)
+    docs = docs.drop("removed")
+    # The key columns get names no caller's column has; inside, the narrow tables use doc and version.
+    taken = set(docs.columns)
+    doc, version = fresh_name("doc", taken), fresh_name("version", taken)
     keyed = docs.withColumns(
-        {"doc": F.coalesce("doc_id", F.xxhash64("text")), "version": F.hash("text", "doc_id")}
+        {doc: F.coalesce("doc_id", F.xxhash64("text")), version: F.hash("text", "doc_id")}
     )
-    texts = keyed.select(*_KEY, "text")
+    texts = keyed.select(F.col(doc).alias("doc"), F.col(version).alias("version"), "text")
     anchors = workspace.table(find_anchors(texts, size), "anchors", "zstd")
     # Written, so that both sides of the join are plain exchanges and a frequent anchor can be split.
     repeated = anchors.groupBy("anchor").count().filter("count > 1").select("anchor")
@@ -295,7 +299,8 @@ def find_repeats(docs: DataFrame, workspace: Workspace, size: int = WINDOW) -> D
             F.flatten(F.collect_list(F.transform("spans", lambda p: p + F.col("start")))).alias("removed")
         )
     )
-    return keyed.join(hits, _KEY, "left").select(*docs.columns, "removed")
+    hits = hits.select(F.col("doc").alias(doc), F.col("version").alias(version), "removed")
+    return keyed.join(hits, [doc, version], "left").select(*docs.columns, "removed")
 
 
 def remove_repeats(docs: DataFrame, workspace: Workspace, size: int = WINDOW) -> DataFrame:

@@ -163,8 +163,13 @@ def test_substrings_of_odd_texts(spark, workspace):
     compare_substrings(spark, workspace, rows)
     compare_substrings(spark, workspace, [*rows, (12, " ".join(words_of(40, 9))), (12, " ".join(words_of(40, 9)))])
     clash = documents(spark, rows).withColumn("n_words", F.lit("x")).withColumn("version", F.lit(3))
+    clash = clash.withColumn("doc", F.lit("d")).withColumn("_doc", F.lit("e")).withColumn("removed", F.lit(1))
     got = remove_repeats(clash, workspace, 12)
     assert {"n_words", "n_removed", "lang"} <= set(got.columns)
+    kept = got.select("version", "doc", "_doc").distinct().collect()
+    assert [tuple(r) for r in kept] == [(3, "d", "e")]
+    found = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()]
+    assert sorted(found, key=repr) == sorted(brute_substrings(rows, 12), key=repr)
     assert remove_repeats(documents(spark, []), workspace, 12).collect() == []
 
 

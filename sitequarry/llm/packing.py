@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitequarry.llm.batches import map_batches, slices
+from sitequarry.llm.batches import fresh_name, map_batches, slices
 from sitequarry.llm.bpe import encoder
 from sitequarry.llm.token_counts import read_spec
 from sitequarry.operators.lineage import Workspace
@@ -160,33 +160,36 @@ def pack_pieces(
     """
     spark = workspace.spark
     salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Helper columns get names that no column of the caller has.
+    taken = set(pieces.columns) | {"sequence_id", "offset", "length", "n"}
+    salt, rank, before = (fresh_name(n, taken) for n in ("_salt", "_rank", "_before"))
     salted = pieces.drop("sequence_id", "offset").withColumn(
-        "_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
+        salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
     )
     salted = workspace.table(salted, "pieces")
     # At most one row per length and salt, so a group of the window below has at most that many rows.
-    groups = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    groups = salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
     groups = workspace.table(
-        groups.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "groups"
+        groups.withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0))), "groups"
     )
     histogram = dict(groups.groupBy("length").agg(F.sum("n")).collect())  # at most capacity rows
     slots = spark.sparkContext.broadcast(Slots(shortest_pack_first(histogram, capacity)))
-    within = Window.partitionBy("length", "_salt").orderBy(*order)
+    within = Window.partitionBy("length", salt).orderBy(*order)
     ranked = (
-        salted.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(groups.drop("n"), ["length", "_salt"])
-        .withColumn("_rank", F.col("_rank") + F.col("_before"))
-        .select(*[c for c in salted.columns if c != "_salt"], "_rank")
+        salted.withColumn(rank, F.row_number().over(within) - 1)
+        .join(groups.drop("n"), ["length", salt])
+        .withColumn(rank, F.col(rank) + F.col(before))
+        .select(*[c for c in salted.columns if c != salt], rank)
     )
-    names = [c for c in ranked.columns if c != "_rank"]
+    names = [c for c in ranked.columns if c != rank]
 
     def place(batch: pa.RecordBatch):
-        length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
-        sequence, offset = slots.value.place(length, rank)
+        length, ranks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", rank))
+        sequence, offset = slots.value.place(length, ranks)
         yield {n: batch.column(n) for n in names} | {"sequence_id": sequence, "offset": offset}
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != rank)
     return map_batches(ranked, place, f"{kinds}, sequence_id bigint, offset bigint")
 
 

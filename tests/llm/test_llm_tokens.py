@@ -144,8 +144,12 @@ def test_op1_packs_whole_table_with_little_padding(spark, library):
 def test_packing_of_nulls_repeats_and_long_texts(spark, library, tokenizer_path, workspace):
     texts = {1: None, 2: "", 3: "word " * 500, 4: "word " * 500, 5: "x"}
     docs = documents(spark, texts.items()).withColumn("offset", F.lit("clash"))
+    for name in ("_salt", "_rank", "_before", "__salt"):
+        docs = docs.withColumn(name, F.lit(f"kept {name}"))
     packed = pack_documents(docs, tokenizer_path, workspace, capacity=64, with_ids=True)
     assert {"lang", "source", "offset"} <= set(packed.columns)
+    for name in ("_salt", "_rank", "_before", "__salt"):
+        assert {r[name] for r in packed.select(name).collect()} == {f"kept {name}"}
     rows = packed.collect()
     check_packing(rows, texts, library, 64)
     tokens = {r.sequence_id: r.ids for r in sequences(packed).collect()}

@@ -12,9 +12,9 @@ from sitequarry.functions.text import html_language
 from sitequarry.functions.urls import normalize_url
 from sitequarry.operators.admission import (
     check_sites,
-    duplicate_captures,
     identify_pages,
     invalid_urls,
+    one_capture,
     site_policy,
 )
 from sitequarry.operators.assemble import (
@@ -60,9 +60,6 @@ from sitequarry.operators.sitemaps import (
 from sitequarry.sinks.products import chosen_products, write_document_table, write_documents
 
 
-CAPTURE = ["captured_url", "page_id"]
-
-
 class SiteProducts:
     """Tables of one run.  ``pages`` and ``dropped`` together hold every URL considered.
 
@@ -162,12 +159,11 @@ def index_captured_pages(
     shuffled while the repeated captures fit a broadcast, which Spark decides by the size of their table.
     """
     identified = identify_pages(pages)
-    duplicates = duplicate_captures(identified, workspace)
-    captures = identified.join(duplicates.select(*CAPTURE), CAPTURE, "left_anti")
+    captures, duplicates = one_capture(identified, workspace)
     found = workspace.table(extract(captures, min_content, max_html_chars), "outcomes")
     dropped = (
         dropped_pages(found)
-        .unionByName(duplicates.drop(*CAPTURE))
+        .unionByName(duplicates)
         .unionByName(invalid_urls(pages))
     )
     return SiteProducts(kept_pages(found), dropped, found, workspace)
@@ -202,8 +198,7 @@ def discover(
     sites, refused_sites = check_sites(sites, workspace, escape_globs)
     asked = pages.join(sites.select("site"), "site", "left_semi")
     found = identify_pages(asked).withColumn("html_lang", html_language(F.col("html")))
-    duplicates = duplicate_captures(found, workspace)
-    captures = found.join(duplicates.select(*CAPTURE), CAPTURE, "left_anti")
+    captures, duplicates = one_capture(found, workspace)
     parsed = workspace.keyed_table(
         parse_for_extraction(captures, want_blocks, max_html_chars), "parsed", "url"
     )
@@ -246,7 +241,7 @@ def discover(
         refused.unionByName(unlisted)
         .unionByName(missing)
         .unionByName(refused_sites)
-        .unionByName(duplicates.drop(*CAPTURE))
+        .unionByName(duplicates)
         .unionByName(cut(unread, "sitemap", "over the sitemap limit"))
         .unionByName(cut(beyond, "response", "over the page limit"))
     )

@@ -190,6 +190,26 @@ def test_page_ids_need_not_be_unique(spark, workspace):
     assert [(r.url, r.skip_reason) for r in built.dropped.collect()] == [("https://a.org/x?y", "duplicate")]
 
 
+def test_a_capture_that_is_there_more_than_once_is_one_page(spark, workspace):
+    text = html()
+    rows = [(1, "a.org", "https://a.org/x", text)] * 3 + [(None, "a.org", "https://a.org/y", text)] * 2
+    rows += [(2, "a.org", "https://a.org/x?q", text)] * 2 + [(4, "a.org", "https://a.org/z", text)]
+    built = index_captured_pages(spark.createDataFrame(rows, PAGES), workspace)
+    assert sorted(r.url for r in built.pages.collect()) == [f"https://a.org/{x}" for x in "xyz"]
+    dropped = sorted((r.url, r.skip_reason) for r in built.dropped.collect())
+    urls = ["https://a.org/x"] * 2 + ["https://a.org/x?q"] * 2 + ["https://a.org/y"]
+    assert dropped == [(url, "duplicate") for url in urls]
+
+
+def test_copies_of_a_page_table_do_not_multiply(spark, workspace):
+    sites = complete_sites(spark.createDataFrame([("https://a.org",)], "base_url string"))
+    pages = [(1, "a.org", "https://a.org/", html("/a")), (2, "a.org", "https://a.org/a", html("/"))]
+    none = [spark.createDataFrame([], schema) for schema in (ROBOTS, SITEMAPS)]
+    built = build_site_index(sites, spark.createDataFrame(pages * 3, PAGES), *none, workspace)
+    assert sorted(r.url for r in built.pages.collect()) == ["https://a.org/", "https://a.org/a"]
+    assert built.dropped.count() == 4 and built.facts.first().n_pages == 2
+
+
 def test_more_hot_keys_than_a_short_list_holds(spark):
     big = spark.range(6_000).select((F.col("id") % 1_500).alias("k"), "id")
     small = spark.range(1_500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))

@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 from sitequarry.functions.urls import hostname
 
 SHOP_SIZE = 500
+#: Rows of a table from which one task makes pages.
+ROWS_PER_TASK = 5_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows become pages, over as many tasks as its row count asks for.
+
+    Rows are far smaller than their pages: a file that is one split would be parsed in one task.
+    """
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(rows.count() // ROWS_PER_TASK + 1)
+
+
 def url_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, variant, url): page URLs as they are, and with the forms they lack."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -94,7 +105,7 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('">private</a></p></main></body></html>'),
     )
     return (
-        table(spark, sf_dir, "customer")
+        spread_table(spark, sf_dir, "customer")
         .withColumns({"k": k, "site": host})
         .select(
             F.col("c_custkey").alias("page_id"),
@@ -144,7 +155,7 @@ def fetched_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts for one page per customer, linked from the homepage of its site, which is customer 0 of the
     hundred: failed requests and retries before a good answer, and answers that are none."""
-    customers = table(spark, sf_dir, "customer")
+    customers = spread_table(spark, sf_dir, "customer")
     n, k = F.col("c_custkey"), F.col("c_custkey") % 100
     site = F.concat(F.lit("https://fetched"), F.floor(n / 100).cast("string"), F.lit(".example.com"))
     links = F.array_join(

@@ -10,10 +10,12 @@ from sitequarry.operators import responses, robots, sitemaps
 from sitequarry.operators.admission import check_sites
 from sitequarry.operators.lineage import Workspace
 from sitequarry.operators.skew import number_rows, spread_join
+from sitequarry.plans import derived
 from sitequarry.plans.site_index import build_site_index, index_captured_pages
 from sitequarry.sources.tables import complete_sites, read_html_files
 
 SITE = "https://s.org"
+SF_DIR = "/root/testdata/sf0.001"
 PAGES = "page_id int, site string, url string, html string"
 ROBOTS = "site string, status int, body string"
 SITEMAPS = "sitemap_url string, status int, xml string"
@@ -249,6 +251,21 @@ def test_responses(spark):
     assert unlimited["fourth"] is unlimited["large"] is unlimited["declared"] is None
 
 
+def test_refused_bodies_do_not_travel(spark):
+    rows = [("pdf", 1, 200, "text/html", None, "%PDF-1"), ("large", 1, 200, "text/html", None, "x" * 100),
+            ("css", 1, 200, "text/css", None, "x"), ("page", 1, 200, "text/html", None, "<html>")]
+    df = spark.createDataFrame(rows, "url string, attempt int, status int, content_type string, content_length long, body string")
+    found = {r.url: (r.body, r.body_bytes) for r in responses.classify_responses(df, max_body_bytes=50).collect()}
+    assert found == {"pdf": (None, 6), "large": (None, 100), "css": (None, 1), "page": ("<html>", 6)}
+
+
+def test_derived_pages_are_spread_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(derived, "ROWS_PER_TASK", 50)
+    for pages in (derived.shop_pages(spark, SF_DIR), derived.page_fetches(spark, SF_DIR)):
+        parts = pages.select(F.spark_partition_id().alias("part")).distinct().count()
+        assert parts == derived.table(spark, SF_DIR, "customer").count() // 50 + 1
+
+
 def html(*links, lang=""):
     body = "".join(f'<a href="{x}">{x}</a> ' for x in links)
     return (

@@ -24,16 +24,19 @@ def final_attempts(fetches: DataFrame, max_attempts: int | None = None) -> DataF
     ``max_attempts`` leaves later attempts out.  Only bodies that can become pages travel through
     the shuffle, and the ranking is limited map-side, so a URL with very many rows is no hot spot.
     """
+    useful = F.col("status").between(200, 299)
+    sized = fetches.withColumn("body_bytes", F.octet_length("body"))
+    return _settling(sized.withColumn("body", F.when(useful, F.col("body"))), max_attempts)
+
+
+def _settling(fetches: DataFrame, max_attempts: int | None) -> DataFrame:
     again = is_retryable(F.col("status"))
     order = Window.partitionBy("url").orderBy(
         again, F.when(again, -F.col("attempt")).otherwise(F.col("attempt"))
     )
-    useful = F.col("status").between(200, 299)
     counted = F.lit(True) if max_attempts is None else F.col("attempt") <= max_attempts
     return (
         fetches.filter(counted)
-        .withColumn("body_bytes", F.octet_length("body"))
-        .withColumn("body", F.when(useful, F.col("body")))
         .withColumn("_rank", F.row_number().over(order))
         .filter("_rank = 1")
         .drop("_rank")
@@ -69,9 +72,14 @@ def response_skip_reason(max_body_bytes: int | None = None) -> Column:
 def classify_responses(
     fetches: DataFrame, max_attempts: int | None = None, max_body_bytes: int | None = None
 ) -> DataFrame:
-    """One row per URL with ``skip_reason``; rows without one are pages."""
-    settled = final_attempts(fetches, max_attempts)
-    return settled.withColumn("skip_reason", response_skip_reason(max_body_bytes))
+    """One row per URL with ``skip_reason``; rows without one are pages, and only they keep a body.
+
+    Each attempt is judged where it is read: a body that is refused is neither sorted nor shuffled.
+    """
+    sized = fetches.withColumn("body_bytes", F.octet_length("body"))
+    judged = sized.withColumn("skip_reason", response_skip_reason(max_body_bytes))
+    kept = F.when(F.col("skip_reason").isNull(), F.col("body"))
+    return _settling(judged.withColumn("body", kept), max_attempts)
 
 
 def pages_from_fetches(classified: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ from sitequarry.llm.batches import map_batches, slices
 SPACE = "▁"
 #: Kinds of pieces in a model file (fixed values of its format): normal pieces are merged, bytes fall back.
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
+#: Score of two symbols that are not merged.
+NEVER = float("-inf")
 #: Pairs whose compatibility a worker keeps; the table starts anew beyond that.
 PAIRS_KEPT = 1 << 21
 #: Distinct chunks whose ids a worker keeps; the table starts anew beyond that.
@@ -84,16 +86,19 @@ class PieceModel:
 
     def merge(self, text: str) -> list[str]:
         """The merge rule on a short string, symbol by symbol: the plain definition the table relies on."""
-        symbols = list(text)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                score = self.score.get(symbols[k] + symbols[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if at < 0:
+        symbols, get = list(text), self.score.get
+        scores = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while scores:
+            best = max(scores)
+            if best == NEVER:
                 break
+            at = scores.index(best)  # the leftmost
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = get(symbols[at - 1] + symbols[at], NEVER)
+            if at < len(scores):
+                scores[at] = get(symbols[at] + symbols[at + 1], NEVER)
         return symbols
 
     def compatible(self, left: int, right: int) -> bool:
@@ -125,27 +130,25 @@ class PieceModel:
         n = len(chunk)
         last = [-2] * (n + 1)  # piece id ending at each prefix; -2: a character that no piece holds
         length = [1] * (n + 1)
-        pairs, width = self._pairs, len(self.pieces)
-        settled = seen = -1
+        fits, width = self._pairs.get, len(self.pieces)
+        settled = seen = 0  # as prefix lengths
         for stop, (piece, size) in self.automaton.iter(chunk):
+            stop += 1
             if stop == settled:
                 continue
             if stop != seen:
                 if seen != settled:
-                    raise AssertionError(f"no last token at {seen + 1}")  # excluded by the merge rule
+                    raise AssertionError(f"no last token at {seen}")  # excluded by the merge rule
                 seen = stop
-            before = stop + 1 - size
-            if before:
-                previous = last[before]
+            if stop != size:
+                previous = last[stop - size]
                 if previous >= 0:
-                    fits = pairs.get(previous * width + piece)
-                    if fits is None:
-                        fits = self.compatible(previous, piece)
-                    if not fits:
+                    known = fits(previous * width + piece)
+                    if not known and (known is not None or not self.compatible(previous, piece)):
                         continue
-            last[stop + 1], length[stop + 1], settled = piece, size, stop
+            last[stop], length[stop], settled = piece, size, stop
         if seen != settled:
-            raise AssertionError(f"no last token at {seen + 1}")
+            raise AssertionError(f"no last token at {seen}")
         ids: list[int] = []
         at = n
         while at > 0:

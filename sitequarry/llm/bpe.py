@@ -13,7 +13,7 @@ import re
 import unicodedata
 from array import array
 from functools import cache, lru_cache
-from itertools import chain, pairwise
+from itertools import chain, compress, islice, pairwise
 
 import ahocorasick
 import numpy as np
@@ -22,6 +22,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 #: Pieces kept per process; a longer piece than MAX_KEPT characters is not kept.
 MAX_PIECES = 700_000
 MAX_KEPT = 40
+#: Ids kept per process, for all pieces together.
+MAX_IDS = 4_000_000
 MAX_PAIRS = 400_000
 #: Whole texts kept per process, for copies that follow each other; a longer text than this is not kept.
 MAX_TEXTS, MAX_TEXT_KEPT = 3_000, 20_000
@@ -66,6 +68,33 @@ def patterns() -> tuple[re.Pattern, re.Pattern]:
     return cut, re.compile(f"[^{_ranges(sure)}]")
 
 
+class _Numbers(dict):
+    """Pieces by number; one that is asked for the first time gets the next."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
+class _Row:
+    """A growing array."""
+
+    def __init__(self, kind: type):
+        self.data, self.used = np.zeros(1024, kind), 0
+
+    def values(self) -> np.ndarray:
+        return self.data[: self.used]
+
+    def extend(self, values) -> None:
+        end = self.used + len(values)
+        if end > len(self.data):
+            larger = np.zeros(max(end, len(self.data) * 3 // 2), self.data.dtype)
+            larger[: self.used] = self.values()
+            self.data = larger
+        self.data[self.used : end] = values
+        self.used = end
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers, equal to what the library gives."""
 
@@ -81,7 +110,7 @@ class Encoder:
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
         for token, i in vocab.items():
             self.sizes[i] = len(token)
-        self.known: dict[str, bytes] = {}
+        self._forget()
         self.texts: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bool:
@@ -98,26 +127,68 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self.cut.findall(t) if self.plain(t) else None for t in texts]
+        if len(self.known) > MAX_PIECES or self.ids.used > MAX_IDS:
+            self._forget()
         known = self.known
-        fresh = set(chain.from_iterable(p for p in pieces if p)).difference(known)
-        if len(known) + len(fresh) > MAX_PIECES:
-            self.known = known = {}
-            fresh = set(chain.from_iterable(p for p in pieces if p))
-        fresh = list(fresh)
-        words = [p for p in fresh if p[0] == " " and p[1:2].isalpha()]
-        others = [p for p in fresh if not (p[0] == " " and p[1:2].isalpha())]
-        for some, encode in ((words, self._words), (others, self._apart)):
-            for at in range(0, len(some), 1024):
-                known.update(zip(some[at : at + 1024], encode(some[at : at + 1024]), strict=True))
+        first = len(known)
+        sizes = np.fromiter((len(p) if p else 0 for p in pieces), np.int64, len(pieces))
+        # One lookup a piece; a new piece gets the next number.
+        which = np.fromiter(
+            map(known.__getitem__, chain.from_iterable(p for p in pieces if p)), np.int64, int(sizes.sum())
+        )
+        fresh = [*islice(known, first, None)]
+        self._learn(fresh)
+        ends = self.ends.values()
+        # The ids of all pieces one after another, then cut where texts end.
+        starts = ends[which]
+        counts = ends[which + 1] - starts
+        totals = np.cumsum(counts)
+        at = np.arange(int(totals[-1]) if len(totals) else 0) + np.repeat(starts - (totals - counts), counts)
+        data = self.ids.values()[at].tobytes()
+        cuts = (4 * np.append(0, totals)[np.append(0, np.cumsum(sizes))]).tolist()
         hard = [t for t, p in zip(texts, pieces, strict=True) if p is None]
         rest = iter(self.library.encode_batch_fast(hard, add_special_tokens=False) if hard else ())
         ids = [
-            _bytes(next(rest)) if p is None else b"".join(map(known.__getitem__, p)) for p in pieces
+            _bytes(next(rest)) if p is None else data[a:b]
+            for p, a, b in zip(pieces, cuts, cuts[1:], strict=False)
         ]
-        for piece in [p for p in fresh if len(p) > MAX_KEPT]:
-            del known[piece]
+        # The numbers of long pieces are not used again, so that the others keep theirs.
+        if any(len(p) > MAX_KEPT for p in fresh):
+            self._forget_long(fresh, first)
         return ids
 
+    def _forget(self) -> None:
+        self.known = _Numbers()
+        self.ids, self.ends = _Row(np.uint32), _Row(np.int64)
+        self.ends.extend([0])
+
+    def _forget_long(self, fresh: list[str], first: int) -> None:
+        """Take out the pieces from number ``first`` on, and put the short ones back."""
+        ends = self.ends.values()[first:].copy()
+        ids = self.ids.values()[ends[0] :].copy()
+        counts = np.diff(ends)
+        short = np.fromiter((len(p) <= MAX_KEPT for p in fresh), bool, len(fresh))
+        for piece in fresh:
+            del self.known[piece]
+        for piece in compress(fresh, short):
+            self.known[piece]
+        self.ids.used, self.ends.used = int(ends[0]), first + 1
+        self.ids.extend(ids[np.repeat(short, counts)])
+        self.ends.extend(ends[0] + np.cumsum(counts[short]))
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Add the ids of new pieces, in the order of their numbers."""
+        found: dict[str, bytes] = {}
+        words = [p for p in fresh if p[0] == " " and p[1:2].isalpha()]
+        others = [p for p in fresh if not (p[0] == " " and p[1:2].isalpha())]
+        for some, encode in ((words, self._words), (others, self._apart)):
+            for at in range(0, len(some), 1024):
+                found.update(zip(some[at : at + 1024], encode(some[at : at + 1024]), strict=True))
+        some = [found[p] for p in fresh]
+        counts = np.fromiter(map(len, some), np.int64, len(some)) // 4
+        self.ends.extend(self.ids.used + np.cumsum(counts))
+        self.ids.extend(np.frombuffer(b"".join(some), "<u4"))
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word that a space begins: the library cuts their joined text before each space, so
         the bytes of the tokens tell where one word's ids end."""

@@ -258,3 +258,17 @@ def test_token_files_of_nulls_ties_and_small_shards(spark, library, tokenizer_pa
     empty = f"{workspace.path}/empty"
     write_tokens(documents(spark, []), tokenizer_path, empty)
     assert read_tokens(spark.read.parquet(empty)).collect() == []
+
+
+def test_encoder_looks_each_piece_up_once_and_forgets_long_ones(library, tokenizer_path, monkeypatch):
+    encoder = Encoder(read_spec(tokenizer_path))
+    monkeypatch.setattr("sitequarry.llm.bpe.MAX_TEXTS", 0)
+    texts = ["a b " + "x" * 50 + " c", "", "b a c", "<|endoftext|>", "z" * 60, "z" * 60 + " new"]
+    for some in (texts, texts[::-1], texts):
+        for text, ids in zip(some, encoder.encode(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert max(map(len, encoder.known)) <= 40
+        # Numbers without gaps, and only the ids of kept pieces in the flat arrays.
+        assert [*encoder.known.values()] == [*range(len(encoder.known))]
+        kept = sum(len(library.encode(p, add_special_tokens=False).ids) for p in encoder.known)
+        assert encoder.ids.used == kept and encoder.ends.used == len(encoder.known) + 1

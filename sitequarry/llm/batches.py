@@ -6,6 +6,8 @@ task depends on the slice size and on the longest single text, not on the number
 
 from __future__ import annotations
 
+import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -61,7 +63,35 @@ def map_partitions(
 ) -> DataFrame:
     """``mapInArrow``, with this package's code on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    stage = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(stage)
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+#: Called when a Python worker goes on to another stage: they drop what only the stage before needed.
+CACHES: list[Callable[[], None]] = []
+_stage: list[str] = []
+
+
+def enter(stage: str) -> None:
+    """Tell the process which stage it works for; what it has kept for another one goes."""
+    if _stage != [stage]:
+        for clear in CACHES:
+            clear()
+        _stage[:] = [stage]
+
+
+def give_back() -> None:
+    """Return free memory to the system: workers outlive their tasks, and allocators keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _as_array(values, kind: pa.DataType) -> pa.Array:
@@ -72,12 +102,12 @@ def _as_array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about SLICE_BYTES of ``column``; a longer text is a piece of its own."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``size`` bytes of ``column``; a longer text is a piece of its own."""
     _, offsets = utf8(batch.column(column))
     start, n = 0, batch.num_rows
     while start < n:
-        stop = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
         stop = min(max(stop, start + 1), n)
         yield batch.slice(start, stop - start)
         start = stop

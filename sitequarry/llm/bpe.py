@@ -19,6 +19,8 @@ import ahocorasick
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
+from sitequarry.llm.batches import CACHES
+
 #: Pieces kept per process; a longer piece than MAX_KEPT characters is not kept.
 MAX_PIECES = 700_000
 MAX_KEPT = 40
@@ -368,6 +370,9 @@ def encoder(spec: str) -> Encoder:
     return Encoder(spec)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 @lru_cache(maxsize=1)
 def prefix_counter(spec: str) -> PrefixCounter:
     return PrefixCounter(spec)

@@ -27,6 +27,8 @@ BITS = 16
 SIZES = (1, 2, 3, 4)
 PER_LANGUAGE = 20_000
 UNKNOWN = "und"
+#: Text scored at a time: each n-gram takes a row of the matrix, some 50 bytes for each byte of text.
+SLICE_BYTES = 1 << 18
 _KEYS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -85,7 +87,7 @@ def train(rows: DataFrame, workspace: Workspace, per_language: int = PER_LANGUAG
     )
 
     def count(batch: pa.RecordBatch):
-        for part in slices(batch):
+        for part in slices(batch, size=SLICE_BYTES):
             codes, bounds, _ = code_points(part.column("text"))
             names, which = np.unique(np.array(part.column("lang").to_pylist(), object), return_inverse=True)
             totals = np.zeros(len(names) << BITS, np.int64)
@@ -110,7 +112,7 @@ def identify(docs: DataFrame, model) -> DataFrame:
     def score(batch: pa.RecordBatch):
         languages, matrix, priors = known.value
         labels = np.array([*languages, UNKNOWN], object)
-        for part in slices(batch):
+        for part in slices(batch, size=SLICE_BYTES):
             codes, bounds, lettered = code_points(part.column("text"))
             if not languages:
                 lettered[:] = False

@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows sent to Python at a time by a job that writes a stage table; Spark's own bounds are 64 MB and 10,000 rows.
+BATCH_BYTES = 2 << 20
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only in local mode when unset."""
@@ -25,6 +30,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of about so many bytes, for jobs run inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Workspace:
     """A folder of stage tables that belongs to one run.
 
@@ -47,7 +64,8 @@ class Workspace:
         """Write ``df`` and read it back; ``zstd`` makes tables of text about half as large."""
         path = f"{self.path}/{len(self._tables)}-{label}"
         self._tables.append(path)
-        df.write.option("compression", compression).parquet(path)
+        with batch_bytes(self.spark):
+            df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keyed_table(

@@ -3,11 +3,15 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 from llm.conftest import documents
 from llm.test_llm_dedup import brute_classes, brute_lines
 from llm.test_llm_tokens import check_packing
 
 import corpus_pipeline
+from sitequarry.llm.batches import map_partitions
+from sitequarry.llm.bpe import encoder
+from sitequarry.llm.packing import cut_documents
 
 SF = "/root/testdata/sf0.001"
 ITEM_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -61,3 +65,21 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
             if name != "packing":
                 assert out.columns == docs.columns
             out.collect()
+
+
+def test_workers_keep_no_pieces_of_another_stage_and_get_small_batches(spark, workspace, tokenizer_path):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = documents(spark, [(i, f"{i} " * 5_000) for i in range(400)]).coalesce(1)
+    # Packing fills a cache of pieces; the next stage of the same worker starts without it.
+    cut_documents(docs, tokenizer_path).collect()
+
+    def look(batches):
+        for batch in batches:
+            size = encoder.cache_info().currsize
+            yield pa.RecordBatch.from_pydict({"kept": [size], "bytes": [batch.nbytes]})
+
+    seen = workspace.table(map_partitions(docs, look, "kept long, bytes long"), "seen").collect()
+    assert {r.kept for r in seen} == {0}
+    assert max(r.bytes for r in seen) < 3 << 20 < sum(r.bytes for r in seen)
+    assert spark.conf.get(name) == before

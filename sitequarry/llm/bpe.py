@@ -13,10 +13,11 @@ import re
 import unicodedata
 from array import array
 from functools import cache, lru_cache
-from itertools import chain, compress, islice, pairwise
+from itertools import chain, compress, pairwise
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer, pre_tokenizers
 
 from sitequarry.llm.batches import CACHES
@@ -50,15 +51,21 @@ _DOUBLE_SPACE = re.compile(f"[{_ranges(WHITE_SPACE)}]{{2}}")
 
 
 @cache
-def patterns() -> tuple[re.Pattern, re.Pattern]:
-    """The pattern that cuts texts into pieces, and one that finds characters it isn't sure about."""
+def _sure() -> list[int]:
+    """Code points whose Unicode class has not changed over time."""
     old = unicodedata.ucd_3_2_0
-    sure = [
+    return [
         c
         for c in range(0x10000)
         if unicodedata.category(chr(c)) == old.category(chr(c)) and old.category(chr(c))[0] != "C"
         or c in WHITE_SPACE
     ]
+
+
+@cache
+def patterns() -> tuple[re.Pattern, re.Pattern]:
+    """The pattern that cuts texts into pieces, and one that finds characters it isn't sure about."""
+    sure = _sure()
     kinds = {k: _ranges([c for c in sure if unicodedata.category(chr(c))[0] == k]) for k in "LN"}
     space = _ranges(WHITE_SPACE)
     letters, numbers = kinds["L"], kinds["N"]
@@ -70,6 +77,57 @@ def patterns() -> tuple[re.Pattern, re.Pattern]:
     return cut, re.compile(f"[^{_ranges(sure)}]")
 
 
+#: Kinds of characters as the pattern has them.
+_LETTER, _NUMBER, _BLANK, _OTHER, _UNSURE = range(5)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point; the last entry stands for all from 0x10000 on."""
+    kinds = np.full(0x10001, _UNSURE, np.uint8)
+    for c in _sure():
+        kinds[c] = {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER)
+    kinds[WHITE_SPACE] = _BLANK
+    return kinds
+
+
+def code_points(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts one after another: their UTF-8 bytes, their code points, and where each text begins and the
+    last one ends, counted in code points."""
+    joined = "".join(texts)
+    data = joined.encode()
+    plain = len(data) == len(joined)
+    codes = np.frombuffer(data, np.uint8) if plain else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    return data, codes, np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
+
+
+def piece_starts(codes: np.ndarray, kinds: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pattern of ``patterns`` begins a piece, for texts of code points one after another.
+
+    A piece is a run of one kind, with a space before it if there is one.  Of white space that more text
+    follows, the last character stands apart; a contraction ends after its letters.
+    """
+    n = len(codes)
+    edge = np.zeros(n + 3, bool)
+    edge[bounds] = True
+    start = edge.copy()
+    start[1:n] |= kinds[1:] != kinds[:-1]
+    blank = kinds == _BLANK
+    last = np.flatnonzero(blank[:-1] & ~blank[1:] & ~edge[1:n])
+    start[last] = True
+    start[last[codes[last] == 0x20] + 1] = False
+    quotes = np.flatnonzero((codes == ord("'")) & start[:n])
+    quotes = quotes[~edge[quotes + 1]]
+    letter = codes[quotes + 1]
+    short = quotes[np.isin(letter, [*b"stmd"])]
+    two = ~edge[quotes + 2]
+    pairs = letter[two].astype(np.int64) << 32 | codes[quotes[two] + 2]
+    long = quotes[two][np.isin(pairs, [ord(c[1]) << 32 | ord(c[2]) for c in _LONG_CONTRACTIONS])]
+    start[short + 1] = start[long + 1] = False
+    start[short + 2] = start[long + 3] = True
+    return np.flatnonzero(start[:n])
+
+
 class _Numbers(dict):
     """Pieces by number; one that is asked for the first time gets the next."""
 
@@ -97,6 +155,14 @@ class _Row:
         self.used = end
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    plain = {ord(c) for c in letters if ord(c) < 256}
+    rest = iter(c for c in letters if ord(c) >= 256)
+    return [chr(b) if b in plain else next(rest) for b in range(256)]
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers, equal to what the library gives."""
 
@@ -104,10 +170,12 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_padding()
         self.library.no_truncation()
-        self.cut, self.unsure = patterns()
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.added = added
-        self.mark = added[0] if added else None
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # The same model by itself: it is given pieces in its own letters, one for a byte, with blanks between.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.letters = np.array([*map(ord, byte_letters())], "<u4")
+        self.letters[0] = ord(" ")
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
         for token, i in vocab.items():
@@ -115,9 +183,6 @@ class Encoder:
         self._forget()
         self.texts: dict[str, bytes] = {}
 
-    def plain(self, text: str) -> bool:
-        return not (any(token in text for token in self.added) or self.unsure.search(text))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         fresh = [t for t in dict.fromkeys(texts) if t not in self.texts]
         ids = dict(zip(fresh, self._encode(fresh), strict=True))
@@ -128,36 +193,47 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.cut.findall(t) if self.plain(t) else None for t in texts]
+        hard = {i for i, t in enumerate(texts) if any(token in t for token in self.added)}
+        data, codes, bounds = code_points(texts)
+        kinds = _kinds().take(codes, mode="clip")
+        unsure = np.flatnonzero(kinds == _UNSURE)
+        hard.update(np.unique(np.searchsorted(bounds, unsure, side="right") - 1).tolist())
+        if hard:
+            easy = iter(self._encode([t for i, t in enumerate(texts) if i not in hard]))
+            whole = [t for i, t in enumerate(texts) if i in hard]
+            rest = iter(self.library.encode_batch_fast(whole, add_special_tokens=False))
+            return [_bytes(next(rest)) if i in hard else next(easy) for i in range(len(texts))]
         if len(self.known) > MAX_PIECES or self.ids.used > MAX_IDS:
             self._forget()
         known = self.known
         first = len(known)
-        sizes = np.fromiter((len(p) if p else 0 for p in pieces), np.int64, len(pieces))
-        # One lookup a piece; a new piece gets the next number.
-        which = np.fromiter(
-            map(known.__getitem__, chain.from_iterable(p for p in pieces if p)), np.int64, int(sizes.sum())
-        )
-        fresh = [*islice(known, first, None)]
+        starts = piece_starts(codes, kinds, bounds)
+        places = np.append(starts, len(codes))
+        if len(data) > len(codes):
+            heads = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+            places = np.append(np.flatnonzero(heads), len(data))[places]
+        # Equal pieces of these texts are brought together first; one lookup for each that differs, and a new
+        # piece gets the next number.
+        pieces = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)
+        ).dictionary_encode()
+        some = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(known.__getitem__, some), np.int64, len(some))
+        fresh = [some[i] for i in np.flatnonzero(numbers >= first).tolist()]
         self._learn(fresh)
-        ends = self.ends.values()
+        which = numbers[pieces.indices.to_numpy()]
         # The ids of all pieces one after another, then cut where texts end.
-        starts = ends[which]
-        counts = ends[which + 1] - starts
-        totals = np.cumsum(counts)
-        at = np.arange(int(totals[-1]) if len(totals) else 0) + np.repeat(starts - (totals - counts), counts)
-        data = self.ids.values()[at].tobytes()
-        cuts = (4 * np.append(0, totals)[np.append(0, np.cumsum(sizes))]).tolist()
-        hard = [t for t, p in zip(texts, pieces, strict=True) if p is None]
-        rest = iter(self.library.encode_batch_fast(hard, add_special_tokens=False) if hard else ())
-        ids = [
-            _bytes(next(rest)) if p is None else data[a:b]
-            for p, a, b in zip(pieces, cuts, cuts[1:], strict=False)
-        ]
+        ends = self.ends.values()
+        begins = ends[which]
+        counts = ends[which + 1] - begins
+        totals = np.append(0, np.cumsum(counts))
+        at = np.arange(totals[-1]) + np.repeat(begins - totals[:-1], counts)
+        found = self.ids.values()[at].tobytes()
+        cuts = (4 * totals[np.searchsorted(starts, bounds)]).tolist()
         # The numbers of long pieces are not used again, so that the others keep theirs.
         if any(len(p) > MAX_KEPT for p in fresh):
             self._forget_long(fresh, first)
-        return ids
+        return [found[a:b] for a, b in pairwise(cuts)]
 
     def _forget(self) -> None:
         self.known = _Numbers()
@@ -180,41 +256,26 @@ class Encoder:
 
     def _learn(self, fresh: list[str]) -> None:
         """Add the ids of new pieces, in the order of their numbers."""
-        found: dict[str, bytes] = {}
-        words = [p for p in fresh if p[0] == " " and p[1:2].isalpha()]
-        others = [p for p in fresh if not (p[0] == " " and p[1:2].isalpha())]
-        for some, encode in ((words, self._words), (others, self._apart)):
-            for at in range(0, len(some), 1024):
-                found.update(zip(some[at : at + 1024], encode(some[at : at + 1024]), strict=True))
-        some = [found[p] for p in fresh]
+        for at in range(0, len(fresh), 4096):
+            ids, counts = self._ids(fresh[at : at + 4096])
+            self.ends.extend(self.ids.used + np.cumsum(counts))
+            self.ids.extend(ids)
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after another, and how many each has.  One call of the library for all: the
+        bytes of the tokens tell where one piece's ids end."""
+        # No piece holds the byte 0: as a control character it is not sure.
+        data = np.frombuffer("\0".join([*pieces, ""]).encode(), np.uint8)
+        letters = self.letters[data[:-1]].tobytes().decode("utf-32-le")
+        ids = np.array(self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.cumsum(self.sizes[ids]), -1)
+        want = np.flatnonzero(data == 0) - np.arange(len(pieces))
+        cuts = np.searchsorted(ends[:-1], want)
+        if np.array_equal(ends[cuts], want):
+            return ids, np.diff(cuts, prepend=-1)
+        some = [_bytes(e) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         counts = np.fromiter(map(len, some), np.int64, len(some)) // 4
-        self.ends.extend(self.ids.used + np.cumsum(counts))
-        self.ids.extend(np.frombuffer(b"".join(some), "<u4"))
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word that a space begins: the library cuts their joined text before each space, so
-        the bytes of the tokens tell where one word's ids end."""
-        joined = self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)
-        ids = np.array(joined[0].ids, "<u4")
-        ends = np.cumsum(self.sizes[ids])
-        want = np.cumsum([len(w.encode()) for w in words])
-        cuts = np.searchsorted(ends, want)
-        if not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], want):
-            return self._apart(words)
-        cuts = (4 * cuts + 4).tolist()
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def _apart(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece; one call for all, with an added token between them where there is one."""
-        if self.mark is None:
-            return [*map(_bytes, self.library.encode_batch_fast(pieces, add_special_tokens=False))]
-        joined = self.library.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)
-        ids = np.array(joined[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == self.library.token_to_id(self.mark)) * 4
-        data = ids.tobytes()
-        starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]
-        return [data[a:b] for a, b in zip(starts, ends, strict=True)]
+        return np.frombuffer(b"".join(some), "<u4"), counts
 
 
 def _bytes(encoding) -> bytes:
@@ -234,10 +295,7 @@ class PrefixCounter:
         self.library = Tokenizer.from_str(spec)
         self.cut, self.unsure = patterns()
         model = json.loads(spec)["model"]
-        letters = sorted(pre_tokenizers.ByteLevel.alphabet())
-        plain = {ord(c) for c in letters if ord(c) < 256}
-        rest = iter(c for c in letters if ord(c) >= 256)
-        self.byte = {(chr(b) if b in plain else next(rest)): b for b in range(256)}
+        self.byte = {c: b for b, c in enumerate(byte_letters())}
         vocab = {t: i for t, i in model["vocab"].items() if all(c in self.byte for c in t)}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(vocab[a], vocab[b]): n for n, (a, b) in enumerate(pairs)}

@@ -272,3 +272,77 @@ def test_encoder_looks_each_piece_up_once_and_forgets_long_ones(library, tokeniz
         assert [*encoder.known.values()] == [*range(len(encoder.known))]
         kept = sum(len(library.encode(p, add_special_tokens=False).ids) for p in encoder.known)
         assert encoder.ids.used == kept and encoder.ends.used == len(encoder.known) + 1
+
+
+def test_encoder_looks_up_each_different_piece_once_a_call(library, tokenizer_path):
+    looked_up = []
+
+    class Counted(dict):
+        def __getitem__(self, piece):
+            looked_up.append(piece)
+            return super().__getitem__(piece)
+
+        def __missing__(self, piece):
+            self[piece] = number = len(self)
+            return number
+
+    encoder = Encoder(read_spec(tokenizer_path))
+    encoder.known = Counted()
+    texts = ["the cat  and the dog's " * 50, "the dog's\n the cat", "é the é"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(looked_up) == len(set(looked_up)) > 5
+
+
+def _odd_texts(seed, n):
+    """Texts from few characters, so that the rules of the pattern meet each other and text ends."""
+    rng = random.Random(seed)
+    alphabet = [*"''''   sstmdrevla19.!\n\t", "\u00a0", "\u3000", "\u1680", "é", "ß", "²", "Ж", "日", "\u0301", "’"]
+    alphabet += ["'ll", "'re", "'ve", "'s", "don't", "  "]
+    return ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_piece_starts_equal_the_pattern(seed):
+    from sitequarry.llm.bpe import _kinds, code_points, patterns, piece_starts
+
+    cut, unsure = patterns()
+    ascii_only = [t for t in _odd_texts(seed, 3000) if t.isascii()]
+    for texts in (_odd_texts(seed, 3000), ascii_only, ["", "", "a", ""], [""], []):
+        assert not any(map(unsure.search, texts))
+        data, codes, bounds = code_points(texts)
+        assert data.decode() == "".join(texts) and bounds[-1] == len(codes)
+        starts = piece_starts(codes, _kinds().take(codes, mode="clip"), bounds).tolist()
+        joined = data.decode()
+        got = [joined[a:b] for a, b in zip(starts, [*starts[1:], len(codes)], strict=False)]
+        assert got == [piece for text in texts for piece in cut.findall(text)]
+
+
+def test_kinds_are_those_of_the_pattern():
+    from sitequarry.llm.bpe import _UNSURE, _kinds, patterns
+
+    unsure = patterns()[1]
+    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    assert [bool(unsure.search(chr(c))) for c in points] == (_kinds()[points] == _UNSURE).tolist()
+    assert _kinds()[-1] == _UNSURE and unsure.search("\U00010000")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_encoder_equals_library_on_odd_texts(seed, library, tokenizer_path):
+    encoder = Encoder(read_spec(tokenizer_path))
+    texts = _odd_texts(seed, 2000) + TEXTS
+    # Some are left to the library: unsure characters, the byte 0, the added token.
+    texts += [t + x for t in _odd_texts(seed + 9, 300) for x in ("👩", "\0", "<|endoftext|>", "\ufffe", "\x7f")]
+    random.Random(seed).shuffle(texts)
+    for at in range(0, len(texts), 700):
+        some = texts[at : at + 700]
+        for text, ids in zip(some, encoder.encode(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_without_the_letters_of_all_bytes(library, tokenizer_path):
+    """Where the bytes of the tokens do not add up, each piece is given to the library by itself."""
+    encoder = Encoder(read_spec(tokenizer_path))
+    encoder.sizes = encoder.sizes + 1
+    for text, ids in zip(TEXTS, encoder.encode(TEXTS), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
